@@ -1,0 +1,31 @@
+"""Connected components of an edge table, by large-star and small-star rounds in Spark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphev.llm.common import saved
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b), any order and repetition -> (node, root) for every node of an edge, root
+    being the smallest node of its component. The number of rounds is about the logarithm of a
+    component's width; each round leaves the edges in the shared folder."""
+    now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = _mark(now)
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        now = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        small = now.join(least, "a").select("b", "m").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        if (after := _mark(now)) == mark:
+            break
+        mark = after
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from graphev.llm import chat_format, exact_dedup, line_dedup, oracles, sharding, url_filter
+from graphev.llm import chat_format, decontaminate, exact_dedup, line_dedup, oracles, sharding, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_feistel_shards": sharding.op2_feistel_shards,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
     "op8_chat_format": chat_format.op8_chat_format,
 }
 
