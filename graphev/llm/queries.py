@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphev.llm import chat_format, decontaminate, exact_dedup, line_dedup, oracles, sharding, simhash_dedup, url_filter
+from graphev.llm import chat_format, decontaminate, exact_dedup, line_dedup, oracles, packing, sharding, simhash_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,8 +10,11 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_retrieval_packing": packing.op10_retrieval_packing,
 }
 
 ORACLES = {
