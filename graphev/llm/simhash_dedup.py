@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphev.llm.common import saved, table
+from graphev.llm.common import hash128, saved, table
 from graphev.llm.components import components
 
 RADIUS = 3
@@ -98,3 +98,83 @@ def hex16(fp: Column) -> Column:
 
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# --- near copies by similarity, for filtering a corpus -------------------------------------------
+
+PRINTS, SIMILAR_WORDS, SIMILARITY = 4, 5, 0.8
+
+
+def word_prints(text: bytes) -> list[int]:
+    """PRINTS SimHashes of the distinct words, each with hashes of its own."""
+    words = set(text.lower().split())
+    if not words:
+        return [0] * PRINTS
+    raw = b"".join(xxhash.xxh3_128_digest(w, s) for s in range(PRINTS // 2) for w in words)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(PRINTS // 2, len(words), 16), axis=2).sum(axis=1, dtype=np.int64)
+    packed = np.packbits(bits * 2 > len(words), axis=1).tobytes()
+    return np.frombuffer(packed, ">i8").tolist()
+
+
+def word_shingles(text: Column) -> Column:
+    """The set of hashed shingles of SIMILAR_WORDS words; of fewer words, the whole sequence."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    k = SIMILAR_WORDS
+    many = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+    sets = lambda h: F.when(F.size(h) < k, F.array(F.xxhash64(h))).otherwise(many(h))
+    return F.array_distinct(F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), sets), F.lit(0)))
+
+
+def text_class(text: Column) -> Column:
+    return F.struct(*[h.alias(n) for n, h in zip(("c0", "c1"), hash128(F.coalesce(text, F.lit(""))))])
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(class, root) for every distinct text that has a near copy; root stands for its group.
+
+    Candidates are texts whose SimHashes of distinct words differ in RADIUS bits at most in any of
+    PRINTS tables. One fingerprint of 64 bits reaches about two thirds of the pairs of similarity
+    0.8 within 3 bits, four independent ones almost all. Texts with equal fingerprints are
+    compared with one of them, close fingerprints by one text each. A candidate is a link if the
+    sets of five-word shingles are similar enough (Jaccard)."""
+
+    def run(batches):
+        for batch in batches:
+            prints = [word_prints(t.as_py() or b"") for t in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], names=["class", "prints"])
+
+    texts = docs.select(text_class(F.col("text")).alias("class"), "text")
+    kind = "class struct<c0:bigint,c1:bigint>"
+    prints = saved(texts.mapInArrow(run, f"{kind}, prints array<bigint>").groupBy("class").agg(F.first("prints").alias("prints")))
+    links = None
+    for t in range(PRINTS):
+        of = prints.select("class", F.col("prints")[t].alias("fp"))
+        reps = saved(of.groupBy("fp").agg(F.min("class").alias("rep"), F.count("*").alias("n")))
+        star = of.join(reps.filter("n > 1"), "fp").select(F.col("class").alias("a"), F.col("rep").alias("b"))
+        near = close_pairs(reps.select("fp")).distinct()
+        near = near.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
+        both = star.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        links = both if links is None else links.unionByName(both)
+    links = saved(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = links.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = texts.join(asked, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
+    sets = saved(sets.select("class", word_shingles(F.col("text")).alias("s")))
+    pairs = links.join(sets.withColumnsRenamed({"class": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"class": "b", "s": "sb"}), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.filter(common >= similarity * (F.size("sa") + F.size("sb") - common))
+    return components(alike.select("a", "b")).withColumnRenamed("node", "class")
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near copies: the one with the smallest doc_id (null
+    last). Groups are the components of near_groups; equal texts are one group."""
+    light = saved(docs.select("doc_id", text_class(F.col("text")).alias("class")))
+    roots = saved(near_groups(docs, similarity))
+    named = light.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "class")
+    keep = saved(named.groupBy("root").agg(F.min(order).alias("k"), F.count("*").alias("size")).select("k.doc_id", "k.class"))
+    out = docs.withColumn("_class", text_class(F.col("text"))).alias("d")
+    out = out.join(keep.alias("k"), F.expr("d.doc_id <=> k.doc_id and d._class = k.class"), "left_semi").drop("_class")
+    # rows that repeat both doc_id and text are one document
+    repeated = not light.groupBy("doc_id", "class").count().filter("count > 1").limit(1).isEmpty()
+    return out.dropDuplicates(["doc_id"]) if repeated else out
