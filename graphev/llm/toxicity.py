@@ -348,7 +348,8 @@ def trained(sample: DataFrame) -> Network | float:
         made = train(texts, marks) if len(set(marks)) == 2 else float(np.mean(marks)) if marks else 0.0
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
 
-    return pickle.loads(sample.coalesce(1).mapInArrow(run, "model binary").first()["model"])
+    made = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else 0.0
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
