@@ -60,13 +60,21 @@ coherence_summary = Relation(
 )
 
 
-def decayed_stream(events: DataFrame, transitions: DataFrame, origin, watermark: str = "1 hour", decay: float = DECAY) -> DataFrame:
-    """L1 as a stream: per target the sums of weight * e^(decay * age since origin), which only
-    need adding up: at time t the score is the sum times e^(-decay * (t - origin)). Order does not
-    matter, so late events within the watermark count as in a batch. transitions is static."""
-    shift = F.lit(decay) * (F.unix_micros("ts") - F.unix_micros(F.lit(origin).cast("timestamp"))) / 1e6
+def decayed_stream(events: DataFrame, transitions: DataFrame, watermark: str = "1 hour", bucket: str = "10 minutes", decay: float = DECAY) -> DataFrame:
+    """L1 as a stream: per target and time bucket the weights decayed to the bucket's end. Sums
+    only add up, so order does not matter and late events within the watermark count as in a
+    batch; decayed_total puts the buckets together at any time. transitions is static."""
     hits = events.withWatermark("ts", watermark).join(transitions.select("source", "target"), "source")
-    return hits.groupBy("target").agg(F.sum(F.col("weight") * F.exp(shift)).alias("raised"), F.count("*").alias("n"))
+    end = F.window("ts", bucket)["end"]
+    aged = F.col("weight") * F.exp(-decay * (F.unix_micros(end) - F.unix_micros("ts")) / 1e6)
+    hits = hits.withColumn("aged", aged)
+    return hits.groupBy(F.window("ts", bucket), "target").agg(F.sum("aged").alias("part"), F.count("*").alias("n"))
+
+
+def decayed_total(parts: DataFrame, now, decay: float = DECAY) -> DataFrame:
+    """The scores at a time from the buckets of decayed_stream: target, score, n."""
+    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("window.end")) / 1e6
+    return parts.groupBy("target").agg(F.sum(F.col("part") * F.exp(-decay * age)).alias("score"), F.sum("n").alias("n"))
 
 
 def windowed_stream(events: DataFrame, size: str = "1 hour", slide: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
