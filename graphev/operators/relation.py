@@ -23,6 +23,7 @@ SPELLINGS = [
     (r"\bsha2\((.*), 256\)", r"sha256(\1)"),
     (r"\belement_at\(", "list_extract("),
     (r"\bsplit\(", "string_split("),
+    (r"\barray_size\(", "len("),
     (r"\bCAST\((.*?) AS STRING\)", r"CAST(\1 AS VARCHAR)"),
     (r"\bexplode\(", "unnest("),
 ]

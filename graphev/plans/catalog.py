@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphev.functions.shared import new_dir
-from graphev.operators import analytics, evidence, metrics, paths, scoring, vectors, views, votes
+from graphev.operators import analytics, evidence, metrics, more, paths, scoring, vectors, views, votes
 from graphev.operators.relation import Relation
 from graphev.sources import starmap
 from graphev.streaming import forecast
@@ -169,6 +169,57 @@ QUERY_NODES: dict[str, Node] = {
     "l11_multi_window": (forecast.multi_window, ("l7_sliding_windows",)),
     "l12_coherence_summary": (forecast.coherence_summary, ("l8_overlap_gaps", "l9_causality", "l10_colocation")),
 }
+QUERY_NODES |= {
+    "c4_walks": (more.walks_any, ("last",)),
+    "d3_binding": (more.binding, ("lineitem", "part")),
+    "d14_parallel_paths": (more.parallel_paths, ("horns",)),
+    "d20_contradictions": (more.contradictions, ("strict",)),
+    "e7_best_chains": (more.best_chains, ("horns",)),
+    "e8_missing_evidence": (more.missing_evidence, ("horns",)),
+    "e9_standing": (more.standing, ("horns",)),
+    "e13_base_names": (more.base_names, ("part",)),
+    "e15_unfilled_horns": (more.unfilled_horns, ("c2_best_fillers", "labels_")),
+    "e17_packet": (more.packet, ("scores",)),
+    "e19_calibrated": (more.calibrated, ("scores", "f14_calibration_bins")),
+    "e25_tier_confidence": (more.tier_confidence, ("morphisms",)),
+    "e27_outcome_rates": (more.outcome_rates, ("votes", "scores")),
+    "e29_attention": (more.attention, ("c2_best_fillers", "scores")),
+    "f7_evaluation": (more.evaluation, ("f1_auroc", "f2_auprc", "f4_mean_reciprocal_rank")),
+    "f8_leave_one_out": (more.leave_one_out, ("labels_", "objects")),
+    "f11_holdout_candidates": (more.holdout_candidates, ("scores",)),
+    "f12_external_labels": (more.external_labels, ("horns", "labels_")),
+    "f18_fold_recall": (more.fold_recall, ("scores",)),
+    "f21_scrambled": (more.scrambled, ("scores",)),
+    "f25_interaction_metrics": (more.interaction_metrics, ("k4_motif_scores",)),
+    "f26_curvature_by_type": (more.curvature_by_type, ("i1_node_curvature", "objects")),
+    "f27_retrodiction": (more.retrodiction, ("horns",)),
+    "g4_numbers_in_text": (more.numbers_in_text, ("documents",)),
+    "g8_text_gate": (more.text_gate, ("documents",)),
+    "g11_citation_flags": (more.citation_flags, ("morphisms",)),
+    "g14_agreement_layer": (more.agreement_layer, ("last", "labels_")),
+    "g15_reach_layer": (more.reach_layer, ("last",)),
+    "g17_peer_layer": (more.peer_layer, ("last",)),
+    "g20_edge_split": (more.edge_split, ("typed",)),
+    "g22_trial_flags": (more.trial_flags, ("orders",)),
+    "g28_evidence_tables": (more.evidence_tables, ("orders", "lineitem", "morphisms")),
+    "g29_pair_evidence": (more.pair_evidence, ("lineitem", "orders", "customer")),
+    "g32_sheet_check": (more.sheet_check, ("horns",)),
+    "g33_cited_share": (more.cited_share, ("strict",)),
+    "g36_rewritten": (more.rewritten, ("typed",)),
+    "g37_merged": (more.merged, ("c12_propagated", "objects", "strict")),
+    "g38_citation_use": (more.citation_use, ("g3_citations",)),
+    "h1_compound_index": (more.compound_index, ("part",)),
+    "h2_strata": (more.strata, ("dose",)),
+    "i8_four_cliques": (more.four_cliques, ("i8_triangles", "neighbours")),
+    "i9_rips_edges": (more.rips_edges, ("cells",)),
+    "i15_synergy": (more.synergy, ("i12_signed_spread",)),
+    "k1_marker_types": (more.marker_types, ("cells",)),
+    "k3_intracellular": (more.intracellular, ("cells",)),
+    "k5_decoys": (more.decoys, ("k4_motif_scores",)),
+    "k6_spatial_coherence": (more.spatial_coherence, ("k2_proximity", "cells")),
+    "l5_two_step_forecast": (more.two_step_forecast, ("l1_transitions",)),
+    "m1_set_overlaps": (more.set_overlaps, ("d1_composition", "d4_analog")),
+}
 NODES = HELPERS | QUERY_NODES
 KEPT = {"objects", "morphisms", "typed", "strict", "last", "terms"}
 _kept: dict[tuple[str, str, str], str] = {}
