@@ -8,8 +8,8 @@ The documents arrive in batches of falling doc_id. A batch's distinct keys form
 The batch is merge-anti-joined with the runs so far: keys that no run knows come in with their
 owner (their largest doc_id), known keys add only a count. When ``fanout`` runs stand on a level,
 they are compacted into one run of the next level. All runs are hash-partitioned and sorted by
-key in the same way, so these joins and compactions need no shuffle. Text is never in a run: rows
-hold two 64-bit hashes of a key.
+key in the same way, so these joins merge without a shuffle; writing a compacted run takes one.
+Text is never in a run: rows hold two 64-bit hashes of a key.
 
 Null text counts as one empty line. Every row is a document, rows that repeat a doc_id too; where
 the largest doc_id repeats, all its rows keep the line. Rows without a doc_id count as documents
@@ -58,8 +58,20 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return keys.select("doc_id", "r0", "r1", F.inline(first))
 
 
+def saved_run(df: DataFrame) -> DataFrame:
+    """df as a sorted run in the shared folder. Spark remembers a checkpoint's partitioning and
+    order only where its plan is not adaptive; the rows are distinct keys, so none is hot."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return saved(df.repartition(shuffle_partitions(spark), *KEY).sortWithinPartitions(*KEY))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def compacted(runs: list[DataFrame]) -> DataFrame:
-    """One sorted run of several; equal partitioning makes this a merge without a shuffle."""
+    """One run of several, by merging them in pairs."""
     every = runs[0]
     for run in runs[1:]:
         joined = every.alias("a").join(run.alias("b"), KEY, "full_outer")
@@ -71,14 +83,13 @@ def compacted(runs: list[DataFrame]) -> DataFrame:
 
 def key_runs(rows: DataFrame, batches: int, fanout: int) -> DataFrame:
     """All keys with their number of documents and their owner."""
-    spark = rows.sparkSession
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     # batch 0 holds the largest doc_ids, the last batch the null ones
     batch = F.lit(len(set(cuts)))
     for i, cut in enumerate(sorted(set(cuts))):
         batch = F.when(F.col("doc_id") > cut, F.least(batch, F.lit(len(set(cuts)) - 1 - i))).otherwise(batch)
     grouped = rows.withColumn("batch", batch).groupBy("batch", *KEY).agg(F.sum(F.col("first").cast("long")).alias("n"), F.max("doc_id").alias("owner"))
-    arrived = saved(grouped.repartition(shuffle_partitions(spark), *KEY).sortWithinPartitions(*KEY))
+    arrived = saved_run(grouped)
     levels: list[list[DataFrame]] = [[]]
     for b in range(len(set(cuts)) + 1):
         new = arrived.filter(F.col("batch") == b).select(*KEY, "n", "owner")
@@ -94,7 +105,7 @@ def key_runs(rows: DataFrame, batches: int, fanout: int) -> DataFrame:
         while len(levels[at]) >= fanout:
             if at + 1 == len(levels):
                 levels.append([])
-            levels[at + 1].append(saved(compacted(levels[at])))
+            levels[at + 1].append(saved_run(compacted(levels[at])))
             levels[at] = []
             at += 1
     return compacted([run for level in levels for run in level])
