@@ -33,9 +33,9 @@ from graphev.llm.common import saved, table
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, FLIPS = 4, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-#: The Bloom filter's bits for each item shingle, and the most it may have; past that it lets
-#: more places through, and the join after it drops them.
-BLOOM_BITS, BLOOM_MOST = 16, 1 << 24
+#: The Bloom filter's bits for each item shingle, so that one place in a million passes by chance,
+#: and the most it may have; past that it lets more through, and the join after it drops them.
+BLOOM_BITS, BLOOM_MOST = 256, 1 << 24
 
 
 def let(value: Column, f) -> Column:
