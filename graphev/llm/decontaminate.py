@@ -140,7 +140,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     wins = saved(cut.select("row", "x.size", "x.start", simhash(F.col("x.h"), lanes).alias("fp")))
 
     index = filed(items.select("item", "size", simhash(F.col("h"), lanes).alias("fp")), FLIPS).withColumnRenamed("fp", "item_fp")
-    near = filed(wins.select("size", "fp").distinct(), 0).join(index, ["size", "block", "value"])
+    # the index has thousands of rows for an item: it is merged, never broadcast
+    near = filed(wins.select("size", "fp").distinct(), 0).join(index.hint("merge"), ["size", "block", "value"])
     near = near.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter(F.col("hamming") <= RADIUS)
     near = near.select("size", "fp", "item", "hamming").distinct()
 
