@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphev.functions.shared import new_dir
-from graphev.operators import analytics, evidence, metrics, more, paths, scoring, vectors, views, votes
+from graphev.operators import analytics, components, evidence, metrics, more, paths, resample, scoring, vectors, views, votes
 from graphev.operators.relation import Relation
-from graphev.sources import starmap
+from graphev.sources import loaders, starmap
 from graphev.streaming import forecast
 
 Node = tuple[Relation, tuple[str, ...]]
@@ -281,6 +281,31 @@ def cosine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cosine_top_k(rows, rows.filter("vec_id % 100 = 0"), 10)
 
 
+def objects_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_dir(spark, "objects-csv")
+    frame(spark, sf_dir, "objects").select("name", "type_name", "sector", "cohort").write.option("header", True).csv(folder)
+    return loaders.load_objects_csv(spark, folder).select("name", "type_name", F.col("metadata")["sector"].alias("sector"), F.col("metadata")["cohort"].alias("cohort"))
+
+
+def morphisms_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_dir(spark, "morphisms-csv")
+    frame(spark, sf_dir, "morphisms").select("name", "source_name", "target_name", "confidence").write.option("header", True).csv(folder)
+    return loaders.load_morphisms_csv(spark, folder)
+
+
+def refined_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = frame(spark, sf_dir, "strict").filter("name = 'interacts_with'").select(F.col("source_name").alias("a"), F.col("target_name").alias("b"), F.col("confidence").alias("w"))
+    return analytics.refined(edges).select("a", "b", F.round("w", 6).alias("w"))
+
+
+def components_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.components(frame(spark, sf_dir, "neighbours"))
+
+
+def bootstrap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.bootstrap_auroc(frame(spark, sf_dir, "scores"))
+
+
 COSINE_SQL = """WITH v AS (SELECT vec_id::BIGINT AS vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
 p AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.e, d.e) / (greatest(q.n, 1e-12) * greatest(d.n, 1e-12)), 6) AS similarity FROM n q JOIN n d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS k FROM p) WHERE k <= 10"""
@@ -298,5 +323,8 @@ FROM v LEFT JOIN (SELECT e.b AS node, sum(r.r * e.w) AS x FROM e JOIN r{i} r ON
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: (lambda spark, sf_dir, name=name: frame(spark, sf_dir, name)) for name in QUERY_NODES
-} | {"i3_pagerank": pagerank_query, "i5_kcore": kcore_query, "j1_cosine_top_k": cosine_query}
-ORACLES: dict[str, str] = {name: statement(name) for name in QUERY_NODES} | {"i3_pagerank": pagerank_sql(), "j1_cosine_top_k": COSINE_SQL}
+} | {"i3_pagerank": pagerank_query, "i5_kcore": kcore_query, "j1_cosine_top_k": cosine_query, "a2_objects_csv": objects_csv_query, "a3_morphisms_csv": morphisms_csv_query, "c14_refined": refined_query, "i7_components": components_query, "f5_bootstrap": bootstrap_query}
+ORACLES: dict[str, str] = {name: statement(name) for name in QUERY_NODES} | {"i3_pagerank": pagerank_sql(), "j1_cosine_top_k": COSINE_SQL} | {
+    "a2_objects_csv": statement("objects").replace("SELECT * FROM n_objects", "SELECT name, type_name, sector, cohort FROM n_objects"),
+    "a3_morphisms_csv": statement("morphisms").replace("SELECT * FROM n_morphisms", "SELECT name, source_name, target_name, confidence FROM n_morphisms"),
+}
