@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphev.llm.common import hash128, saved, table
-from graphev.llm.components import components
+from graphev.operators.components import components
 
 RADIUS = 3
 SHINGLES_AT_ONCE = 1 << 15
