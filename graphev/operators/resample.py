@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def poisson(n: pd.Series, seed: pd.Series) -> pd.Series:
     """Poisson(n) draws, each from its own seed, so that a recomputed task draws the same."""
     return pd.Series([int(np.random.default_rng(s & 0x7FFFFFFFFFFFFFFF).poisson(k)) for k, s in zip(n, seed)])

@@ -123,3 +123,38 @@ def test_query_matches_duckdb(spark, name):
     ours, theirs = catalog.QUERIES[name](spark, SMALL).toPandas(), db.execute(catalog.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows_of(ours) == rows_of(theirs)
+
+
+def test_refinement_takes_the_better_factorization(spark):
+    got = analytics.refined(spark.createDataFrame([("A", "B", 0.9), ("B", "C", 0.8), ("A", "C", 0.3)], "a string, b string, w double"))
+    assert {(r.a, r.b): round(r.w, 6) for r in got.collect()} == {("A", "B"): 0.9, ("B", "C"): 0.8, ("A", "C"): 0.72}
+
+
+def test_components(spark):
+    from graphev.operators.components import components
+
+    chain = [(i, i + 1) for i in range(20, 0, -1)] + [(100, 101), (101, 100), (7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a int, b int")).collect()}
+    assert got == {**{i: 1 for i in range(1, 22)}, 100: 100, 101: 100}
+
+
+def test_bootstrap_brackets_the_estimate(spark):
+    from graphev.operators.resample import bootstrap_auroc
+
+    rows = [("s", str(i), i / 100, i % 10 > 3 and i > 30) for i in range(100)]
+    frame = spark.createDataFrame(rows, "source string, target string, score double, label boolean")
+    got, exact = bootstrap_auroc(frame, 100).first(), metrics.auroc(frame).first().auroc
+    assert got.low <= exact <= got.high and got.replicates == 100
+
+
+def test_loaders(spark, tmp_path):
+    from graphev.sources import loaders
+
+    (tmp_path / "o.csv").write_text('name,type_name,metadata,era\nA,Drug,"{""x"": ""1""}",old\n,Drug,,\nB,,not json,\n')
+    got = {r.name: (r.type_name, r.metadata) for r in loaders.load_objects_csv(spark, str(tmp_path / "o.csv"), "Thing").collect()}
+    assert got == {"A": ("Drug", {"x": "1", "era": "old"}), "B": ("Thing", {})}
+    (tmp_path / "m.csv").write_text("name,source_name,target_name,confidence\nr,A,B,0.5\nr,A,,1\nr,B,A,oops\n")
+    assert sorted(tuple(r) for r in loaders.load_morphisms_csv(spark, str(tmp_path / "m.csv")).collect()) == [("r", "A", "B", 0.5), ("r", "B", "A", 1.0)]
+    (tmp_path / "g.json").write_text('{"objects": [{"name": "A"}, {"type_name": "x"}], "morphisms": [{"name": "r", "source": "A", "target": "B"}, {"name": "r", "source": "A"}]}')
+    objects, edges = loaders.load_graph_json(spark, str(tmp_path / "g.json"))
+    assert [tuple(r) for r in objects.collect()] == [("A", "Object")] and [tuple(r) for r in edges.collect()] == [("r", "A", "B", 1.0)]
