@@ -1,9 +1,11 @@
-"""The folder that the driver and all executors share."""
+"""What the driver and all executors share: a folder, and this package's code."""
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,17 @@ def saved(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, with its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once for an application, so that their functions
+    find it wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(tempfile.mkdtemp(prefix="spark-") + "/graphev", "zip", root, "graphev")
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
