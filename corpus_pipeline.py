@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphev.functions.shared import ship
 from graphev.llm.common import new_dir, table
 from graphev.llm.decontaminate import contaminated
 from graphev.llm.line_dedup import dedup_lines
@@ -19,6 +20,7 @@ from graphev.llm.toxicity import scored
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
+    ship(spark)
     return scored(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(docs.columns)
 
 
@@ -30,6 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ship(spark)
     return drop_near_copies(docs)
 
 
@@ -41,6 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents' tokens in full windows, one row per piece."""
+    ship(spark)
     return pack(docs)
 
 
