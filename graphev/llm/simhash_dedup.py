@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphev.llm.common import hash128, saved, table
@@ -129,14 +130,106 @@ def text_class(text: Column) -> Column:
     return F.struct(*[h.alias(n) for n, h in zip(("c0", "c1"), hash128(F.coalesce(text, F.lit(""))))])
 
 
+CLASS = "class struct<c0:bigint,c1:bigint>"
+#: About how many texts are read for the common shingles, the number of these texts that makes a
+#: shingle common, and the most that are kept. They only decide the order of shingles.
+SAMPLED, COMMON, COMMON_MOST = 20_000, 5, 50_000
+SEEN_MOST = 1 << 18
+
+
+def shingle_numbers(text: bytes) -> np.ndarray:
+    """word_shingles of a lower-cased text with hashes of its own, sorted."""
+    words = text.split()
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    k = min(SIMILAR_WORDS, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out.view(np.int64))
+
+
+def of_texts(texts: DataFrame, make, kind: str) -> DataFrame:
+    """texts: class, text -> class and what make gives for the text; a task gives a text's rows once
+    unless it meets more than SEEN_MOST others in between."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            c0, c1 = (batch.column(0).field(i).to_numpy() for i in (0, 1))
+            new = []
+            for i, c in enumerate(zip(c0.tolist(), c1.tolist())):
+                if c not in seen:
+                    seen.add(c)
+                    new.append(i)
+            if len(seen) > SEEN_MOST:
+                seen.clear()
+            made = [make(shingle_numbers(t.as_py())) for t in batch.column(1).cast(pa.large_binary()).take(pa.array(new, pa.int64()))]
+            if not made:
+                continue
+            at = np.repeat(np.array(new), [len(m[0]) for m in made])
+            columns = [pa.StructArray.from_arrays([pa.array(c0[at]), pa.array(c1[at])], names=["c0", "c1"])]
+            columns += [pa.array(np.concatenate(c)) for c in zip(*made)]
+            for start in range(0, len(at), SHINGLES_AT_ONCE):
+                part = [c.slice(start, SHINGLES_AT_ONCE) for c in columns]
+                yield pa.RecordBatch.from_arrays(part, names=["class", *[c.split()[0] for c in kind.split(", ")]])
+
+    return texts.select("class", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"{CLASS}, {kind}")
+
+
+def common_shingles(texts: DataFrame, n: int) -> np.ndarray:
+    """The most common shingles of a sample of n texts, sorted."""
+    part = texts.filter(F.pmod(F.col("class.c1"), F.lit(max(1, n // SAMPLED))) == 0)
+    rows = of_texts(part, lambda s: [s], "s long").distinct().groupBy("s").count().filter(F.col("count") >= COMMON)
+    return np.sort(np.array([r.s for r in rows.orderBy(F.desc("count"), "s").limit(COMMON_MOST).collect()], np.int64))
+
+
+def prefixes(texts: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+    """(class, s, i, n): of a text's n shingles the first ones, in an order that is the same for all
+    texts, with their places i. Common shingles come last, others go by their hash. Sets of n and m
+    shingles with a Jaccard of at least ``similarity`` have similarity * max(n, m) in common, so that
+    one of these is among the first n - similarity * n + 1 of both."""
+
+    def make(s):
+        if len(common):
+            last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+            s = np.concatenate([s[~last], s[last]])
+        n = len(s)
+        k = n - int(np.ceil(similarity * n - 1e-6)) + 1
+        return [s[:k], np.arange(k, dtype=np.int32), np.full(k, n, np.int32)]
+
+    return of_texts(texts, make, "s long, i int, n int")
+
+
+def rest_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of texts in different groups that share a shingle of shared (class, s, i, n)
+    and that sizes and places do not rule out."""
+    named = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = named.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("s")
+    named = saved(named.join(mixed, "s", "left_semi"))
+    x, y = (named.select("s", *[F.col(c).alias(c + e) for c in ("class", "root", "i", "n")]) for e in "xy")
+    found = x.join(y, "s").filter("classx < classy and rootx <> rooty")
+    most = F.least("ix", "iy") + 1 + F.least(F.expr("nx - ix - 1"), F.expr("ny - iy - 1"))
+    found = found.filter(most >= similarity * (F.col("nx") + F.col("ny") - most) - 1e-6)
+    return found.select(F.col("classx").alias("a"), F.col("classy").alias("b")).distinct()
+
+
+def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets (class, s) have a Jaccard of at least similarity."""
+    pairs = links.join(sets.withColumnsRenamed({"class": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"class": "b", "s": "sb"}), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(class, root) for every distinct text that has a near copy; root stands for its group.
 
-    Candidates are texts whose SimHashes of distinct words differ in RADIUS bits at most in any of
-    PRINTS tables. One fingerprint of 64 bits reaches about two thirds of the pairs of similarity
-    0.8 within 3 bits, four independent ones almost all. Texts with equal fingerprints are
-    compared with one of them, close fingerprints by one text each. A candidate is a link if the
-    sets of five-word shingles are similar enough (Jaccard)."""
+    Texts are linked if their sets of five-word shingles are similar enough (Jaccard), and groups
+    are the components of all such links. First, texts whose SimHashes of distinct words differ in
+    RADIUS bits at most in any of PRINTS tables are compared, those with equal fingerprints with one
+    of them, close fingerprints by one text each. This joins large groups cheaply but misses links.
+    Then the rest: every two texts of different groups that share a shingle of their prefixes, which
+    any similar two do."""
 
     def run(batches):
         for batch in batches:
@@ -144,8 +237,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], names=["class", "prints"])
 
     texts = docs.select(text_class(F.col("text")).alias("class"), "text")
-    kind = "class struct<c0:bigint,c1:bigint>"
-    prints = saved(texts.mapInArrow(run, f"{kind}, prints array<bigint>").groupBy("class").agg(F.first("prints").alias("prints")))
+    prints = saved(texts.mapInArrow(run, f"{CLASS}, prints array<bigint>").groupBy("class").agg(F.first("prints").alias("prints")))
     links = None
     for t in range(PRINTS):
         of = prints.select("class", F.col("prints")[t].alias("fp"))
@@ -156,13 +248,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         both = star.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
         links = both if links is None else links.unionByName(both)
     links = saved(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = links.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    firsts = prefixes(texts, common_shingles(texts, prints.count()), similarity).repartition("s")
+    shared = saved(firsts.withColumn("of", F.count("*").over(W.partitionBy("s"))).filter("of > 1").drop("of").distinct())
+    asked = shared.select("class").distinct()
     sets = texts.join(asked, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
     sets = saved(sets.select("class", word_shingles(F.col("text")).alias("s")))
-    pairs = links.join(sets.withColumnsRenamed({"class": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"class": "b", "s": "sb"}), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = pairs.filter(common >= similarity * (F.size("sa") + F.size("sb") - common))
-    return components(alike.select("a", "b")).withColumnRenamed("node", "class")
+    first = saved(alike(links, sets, similarity))
+    roots = saved(components(first).withColumnRenamed("node", "class"))
+    rest = alike(rest_pairs(shared, roots, similarity), sets, similarity)
+    return components(first.unionByName(rest)).withColumnRenamed("node", "class")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

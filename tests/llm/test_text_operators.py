@@ -186,6 +186,44 @@ def test_near_copies(docs, rows, none):
     assert simhash_dedup.drop_near_copies(none).count() == 0
 
 
+def brute_groups(texts):
+    """Components of all pairs of similarity 0.8, as sets of indices, without single texts."""
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    groups = collections.defaultdict(set)
+    for i, r in enumerate(root):
+        groups[r].add(i)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def groups_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    classes = docs.select("doc_id", simhash_dedup.text_class(F.col("text")).alias("class"))
+    groups = collections.defaultdict(set)
+    for r in classes.join(simhash_dedup.near_groups(docs), "class").collect():
+        groups[r.root].add(r.doc_id)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_near_groups_are_complete(spark):
+    """Copies with an appended block, an inserted block or scattered changes, around 0.8."""
+    rng = random.Random(17)
+    zipf = lambda n: [f"z{int(rng.paretovariate(0.7)) % 5000}" for _ in range(n)]
+    texts = []
+    for i in range(40):
+        base = zipf(rng.randrange(60, 200))
+        block = zipf(round(len(base) * rng.choice([0.1, 0.18, 0.22, 0.26])))
+        at = rng.randrange(len(base))
+        few = base[:30]
+        changed = [*few[:4], "other", *few[5:]]
+        texts += [" ".join(x) for x in (base, base + block, base[:at] + block + base[at:], few, changed)]
+    assert groups_of(spark, texts) == brute_groups(texts)
+
+
 # --- decontamination
 
 
