@@ -224,6 +224,20 @@ def test_near_groups_are_complete(spark):
     assert groups_of(spark, texts) == brute_groups(texts)
 
 
+def test_near_groups_without_their_representative(spark):
+    """Texts of the same words, so of equal fingerprints, that are alike but not like the smallest."""
+    rng = random.Random(23)
+    parts = [[f"p{i}q{j}" for j in range(10)] for i in range(40)]
+    texts = []
+    for _ in range(12):
+        order = rng.sample(parts, 40)
+        texts.append(" ".join(w for p in order for w in p))
+        texts.append(" ".join(w for p in [order[1], order[0], *order[2:]] for w in p))
+    blocks = rng.sample([w for p in parts for w in p], 400)
+    texts += [" ".join(blocks), " ".join([*blocks[20:], *blocks[:20]]), " ".join([*reversed(blocks[:80]), *blocks[80:]])]
+    assert groups_of(spark, texts) == brute_groups(texts)
+
+
 # --- decontamination
 
 
