@@ -14,7 +14,7 @@ from graphev.llm.common import new_dir, table
 from graphev.llm.decontaminate import contaminated
 from graphev.llm.line_dedup import dedup_lines
 from graphev.llm.packing import pack
-from graphev.llm.simhash_dedup import drop_near_copies
+from graphev.llm.simhash_dedup import drop_near_copies, text_class
 from graphev.llm.toxicity import scored
 
 
@@ -37,9 +37,12 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits.withColumnRenamed("doc_id", "_hit"), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """Documents that hold no benchmark item. Hits are told by doc_id and text, as documents may
+    share a doc_id or have none."""
+    key = F.struct("doc_id", text_class(F.col("text")).alias("class"))
+    hits = contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id.*").distinct()
+    hits = hits.withColumnsRenamed({"doc_id": "_hit", "class": "_class"})
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")) & (text_class(F.col("text")) == F.col("_class")), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

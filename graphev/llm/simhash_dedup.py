@@ -268,7 +268,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "class")
     keep = saved(named.groupBy("root").agg(F.min(order).alias("k"), F.count("*").alias("size")).select("k.doc_id", "k.class"))
     out = docs.withColumn("_class", text_class(F.col("text"))).alias("d")
-    out = out.join(keep.alias("k"), F.expr("d.doc_id <=> k.doc_id and d._class = k.class"), "left_semi").drop("_class")
+    out = out.join(keep.alias("k"), F.expr("d.doc_id <=> k.doc_id and d._class = k.class"), "left_semi")
     # rows that repeat both doc_id and text are one document
     repeated = not light.groupBy("doc_id", "class").count().filter("count > 1").limit(1).isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return (out.dropDuplicates(["doc_id", "_class"]) if repeated else out).drop("_class")

@@ -32,3 +32,12 @@ def test_stages(spark, tmp_path):
     assert texts[113].startswith(line) and not texts[110].startswith(line)
     pieces = stages["packing"](spark, kept, folder).collect()
     assert {r.doc_id for r in pieces} == ids
+
+
+def test_decontaminate_leaves_documents_of_the_same_id(spark, tmp_path):
+    item = " ".join(f"i{i}" for i in range(30))
+    clean = [(None, "a clean text without an id"), (5, "a clean text under id five"), (None, None)]
+    docs = spark.createDataFrame([*clean, (None, f"before {item} after"), (5, f"in five {item} too")], "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == set(clean)

@@ -238,6 +238,14 @@ def test_near_groups_without_their_representative(spark):
     assert groups_of(spark, texts) == brute_groups(texts)
 
 
+def test_near_copies_keep_other_ids(spark):
+    """A repeated row leaves documents that share its kind of doc_id, or have none, alone."""
+    rows = [(None, "first clean text of no id"), (None, "another one that differs a lot"), (7, "x"), (7, "x"), (8, "one text under id eight"), (8, "and some other text of eight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in simhash_dedup.drop_near_copies(docs).collect())
+    assert got == sorted({(a or 0, b) for a, b in rows})
+
+
 # --- decontamination
 
 
