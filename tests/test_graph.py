@@ -1,10 +1,12 @@
 """Small graphs with answers worked out by hand, and all queries against DuckDB."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from graphev.operators import analytics, evidence, metrics, paths, views, votes
+from graphev.operators import analytics, evidence, metrics, paths, vectors, views, votes
 from graphev.plans import catalog
 from graphev.streaming import forecast
 
@@ -158,3 +160,14 @@ def test_loaders(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"objects": [{"name": "A"}, {"type_name": "x"}], "morphisms": [{"name": "r", "source": "A", "target": "B"}, {"name": "r", "source": "A"}]}')
     objects, edges = loaders.load_graph_json(spark, str(tmp_path / "g.json"))
     assert [tuple(r) for r in objects.collect()] == [("A", "Object")] and [tuple(r) for r in edges.collect()] == [("r", "A", "B", 1.0)]
+
+
+def test_cosine_ties_take_the_smallest_ids(spark):
+    """More equal vectors than a query has places: the smallest vec_ids win, whatever their order."""
+    rng = random.Random(4)
+    ids = list(range(1, 400))
+    rng.shuffle(ids)
+    rows = spark.createDataFrame([(i, [1.0, 2.0] if i % 4 else [2.0, 1.0]) for i in ids], "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1000, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in vectors.cosine_top_k(rows, asked, 10).orderBy("k").collect()]
+    assert got == [i for i in range(1, 400) if i % 4][:10]
