@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphev.llm.common import hash128, saved, table
+from graphev.llm.decontaminate import BLOOM_MOST, bloom, maybe_in
 from graphev.operators.components import components
 
 RADIUS = 3
@@ -134,6 +135,7 @@ CLASS = "class struct<c0:bigint,c1:bigint>"
 #: About how many texts are read for the common shingles, the number of these texts that makes a
 #: shingle common, and the most that are kept. They only decide the order of shingles.
 SAMPLED, COMMON, COMMON_MOST = 20_000, 5, 50_000
+LOW = -(1 << 63) + 3 * (1 << 64) // 10
 SEEN_MOST = 1 << 18
 
 
@@ -178,9 +180,10 @@ def of_texts(texts: DataFrame, make, kind: str) -> DataFrame:
 
 
 def common_shingles(texts: DataFrame, n: int) -> np.ndarray:
-    """The most common shingles of a sample of n texts, sorted."""
+    """The most common shingles of a sample of n texts, sorted; only of those that prefixes reach,
+    the ones with hashes under LOW."""
     part = texts.filter(F.pmod(F.col("class.c1"), F.lit(max(1, n // SAMPLED))) == 0)
-    rows = of_texts(part, lambda s: [s], "s long").distinct().groupBy("s").count().filter(F.col("count") >= COMMON)
+    rows = of_texts(part, lambda s: [s[s < LOW]], "s long").groupBy("s").count().filter(F.col("count") >= COMMON)
     return np.sort(np.array([r.s for r in rows.orderBy(F.desc("count"), "s").limit(COMMON_MOST).collect()], np.int64))
 
 
@@ -250,8 +253,11 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = saved(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     firsts = prefixes(texts, common_shingles(texts, prints.count()), similarity).repartition("s")
     shared = saved(firsts.withColumn("of", F.count("*").over(W.partitionBy("s"))).filter("of > 1").drop("of").distinct())
-    asked = shared.select("class").distinct()
-    sets = texts.join(asked, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
+    asked = saved(shared.select("class").distinct())
+    # most texts share nothing: a Bloom filter keeps them from being moved for the join
+    bits = min(BLOOM_MOST, max(1 << 16, 1 << (16 * asked.count()).bit_length()))
+    marks = bloom(asked.select(F.col("class.c0").alias("s")), bits)
+    sets = texts.filter(maybe_in(marks, F.col("class.c0"), bits)).join(asked, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
     sets = saved(sets.select("class", word_shingles(F.col("text")).alias("s")))
     first = saved(alike(links, sets, similarity))
     roots = saved(components(first).withColumnRenamed("node", "class"))
