@@ -1,6 +1,7 @@
 """Token counts of documents in flat token files without an index.
 
-A file is a run of little-endian 16-bit ids; each document ends with the end-of-document id. Tasks
+A file is a run of little-endian 16-bit ids; each document ends with the end-of-document id, by
+default a number that is no id of the vocabulary, so that texts cannot hold it. Tasks
 read files in blocks of ``block`` ids and find the separators of a block in one vectorised
 comparison. A block knows nothing of its neighbours: where a document began before the block is
 stitched by a prefix scan over the blocks of a stream (the last separator and the number of
@@ -24,13 +25,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphev.llm.common import new_dir, table
-from graphev.llm.tokens import END_OF_TEXT, token_rows
+from graphev.llm.tokens import END_MARK, token_rows
 
 BLOCK, FILE_DOCS = 1 << 20, 10_000
 NAME = r"part-(\d+)-.*?(?:-c(\d+))?\.txt"
 
 
-def write_token_files(docs: DataFrame, folder: str, end: int = END_OF_TEXT) -> None:
+def write_token_files(docs: DataFrame, folder: str, end: int = END_MARK) -> None:
     """One stream for each task of the scan of docs, documents in the order of the scan."""
     rows = token_rows(docs, end)
     body = F.expr("substring(ids, 1, length(ids) - 2)").cast("string")
@@ -45,7 +46,7 @@ def token_files(spark, folder: str) -> DataFrame:
     return files.select(stream.alias("stream"), F.coalesce(F.expr(f"try_cast(regexp_extract(path, r'{NAME}', 2) as int)"), F.lit(0)).alias("file_no"), "content")
 
 
-def scan_blocks(files: DataFrame, end: int = END_OF_TEXT, block: int = BLOCK) -> DataFrame:
+def scan_blocks(files: DataFrame, end: int = END_MARK, block: int = BLOCK) -> DataFrame:
     """(stream, file_no, block_no, n_ids, ends): ends are places of separators in the block."""
 
     def run(batches):

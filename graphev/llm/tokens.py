@@ -1,9 +1,10 @@
 """Token ids of texts, in Spark tasks.
 
-The ids are those of the byte-level BPE in ``byte_bpe_50k.json`` (library tokenizers, no special
-tokens added; strings that look like special tokens are ordinary text). They are made from the
-same vocabulary's ranks by the library tiktoken, which is several times faster. The folder of the
-vocabulary files is a parameter; its files are on every machine, as the library is.
+The ids are those that the library tokenizers gives with ``byte_bpe_50k.json`` and
+add_special_tokens=False; a text that holds the string of the special token gets its id. They are
+made from the same vocabulary's ranks by the library tiktoken, which is several times faster and
+tested to give equal ids. The folder of the vocabulary files is a parameter; its files are on every
+machine, as the library is.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: The vocabulary's end-of-document id; ordinary text never has it.
-END_OF_TEXT = 50256
+#: The special token's string and id, and the number of ids.
+SPECIAL = {"<|endoftext|>": 50256}
 VOCABULARY = 50257
+#: The end of a document in token files: a 16-bit number that is no id, so that no text has it.
+END_MARK = 0xFFFF
 
 
 def tokenizer_dir() -> str:
@@ -34,7 +37,7 @@ def encoding(folder: str):
 
     lines = (Path(folder) / "byte_bpe_50k.tiktoken").read_bytes().splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def token_rows(docs: DataFrame, end: int, folder: str | None = None) -> DataFrame:
@@ -43,7 +46,13 @@ def token_rows(docs: DataFrame, end: int, folder: str | None = None) -> DataFram
     folder = folder or tokenizer_dir()
 
     def run(batches):
-        encode = encoding(folder).encode_ordinary
+        coder = encoding(folder)
+
+        def encode(text: str) -> list[int]:
+            if any(s in text for s in SPECIAL):
+                return coder.encode(text, allowed_special="all")
+            return coder.encode_ordinary(text)
+
         for batch in batches:
             ids = [np.array([*encode(t.as_py() or ""), end], "<u2").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])

@@ -338,15 +338,16 @@ def test_trust_by_hand(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+ODD = ["  two  spaces\n\nünï 日本 don't <|endoftext|> \t x\xa0y 1234", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "<|endoftext", "a <|endoftext|", "\uffff \ufeff\x00 <|ENDOFTEXT|>"]
 
 
-def test_ids_are_the_tokenizers_ids(docs, rows, tokenizer):
-    odd = "  two  spaces\n\nünï 日本 don't <|endoftext|> \t x\xa0y 1234"
-    got = tokens.encoding(tokens.tokenizer_dir()).encode_ordinary(odd)
-    assert got == tokenizer.encode(odd, add_special_tokens=False).ids
+def test_ids_are_the_tokenizers_ids(spark, docs, rows, tokenizer):
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in tokens.token_rows(odd, 1).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(ODD)}
     ids = collections.Counter((r.doc_id, bytes(r.ids)) for r in tokens.token_rows(docs, 1).collect())
     assert ids == collections.Counter((d, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u2").tobytes()) for d, t in rows)
 
@@ -398,6 +399,15 @@ def test_token_counts_from_files(docs, rows, tokenizer, tmp_path):
     assert sorted(r.n_tokens for r in counts.collect()) == want
 
 
+def test_every_document_gets_its_own_count(spark, rows, tokenizer, tmp_path):
+    """The query against the tokenizer, document by document, over several files of several row groups."""
+    every = [(i, t) for i, (_, t) in enumerate(rows)] + [(10_000 + i, t) for i, t in enumerate(ODD)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in every], "doc_id long, text string, n_tokens string, stream int")
+    frame.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in token_counts.op6_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in every}
+
+
 # --- toxicity
 
 
