@@ -104,7 +104,10 @@ def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 # --- near copies by similarity, for filtering a corpus -------------------------------------------
 
-PRINTS, SIMILAR_WORDS, SIMILARITY = 4, 5, 0.8
+PRINTS, SIMILAR_WORDS, SIMILARITY = 2, 5, 0.8
+#: Bits of a parity sketch: for up to 200 shingles, for each more, and at most.
+SKETCH_LEAST, SKETCH_PER, SKETCH_MOST = 128, 0.64, 1 << 13
+FACTS = ("prints", "sketch", "p", "q", "n")
 
 
 def word_prints(text: bytes) -> list[int]:
@@ -112,10 +115,9 @@ def word_prints(text: bytes) -> list[int]:
     words = set(text.lower().split())
     if not words:
         return [0] * PRINTS
-    raw = b"".join(xxhash.xxh3_128_digest(w, s) for s in range(PRINTS // 2) for w in words)
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(PRINTS // 2, len(words), 16), axis=2).sum(axis=1, dtype=np.int64)
-    packed = np.packbits(bits * 2 > len(words), axis=1).tobytes()
-    return np.frombuffer(packed, ">i8").tolist()
+    raw = b"".join(map(xxhash.xxh3_128_digest, words))
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(words), 16), axis=1).sum(axis=0, dtype=np.int64)
+    return np.frombuffer(np.packbits(bits * 2 > len(words)).tobytes(), ">i8").tolist()
 
 
 def word_shingles(text: Column) -> Column:
@@ -151,6 +153,36 @@ def shingle_numbers(text: bytes) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """Each bit is the parity of the number of shingles that fall on it. Sets that differ in d
+    shingles have sketches that differ in d bits at most."""
+    size = SKETCH_LEAST
+    while size < min(SKETCH_PER * len(s), SKETCH_MOST):
+        size *= 2
+    odd = np.bincount(s & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(longs: np.ndarray) -> list[int]:
+    """The sketch's smallest form, two numbers."""
+    return np.bitwise_xor.reduce(longs.reshape(-1, 2), axis=0).tolist()
+
+
+def may_be_alike(x: Column, y: Column, n: Column, m: Column, similarity: float) -> Column:
+    """False only if sets of n and m shingles with the sketches x and y have a Jaccard under
+    similarity: their sizes or their sketches differ by too much. Of sketches of different sizes
+    the larger one is folded."""
+    half = lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2 - 1).cast("int")), lambda i: F.get(c, i).bitwiseXOR(F.get(c, i + (F.size(c) / 2).cast("int"))))
+    differ = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+    bits = F.when(F.size(x) == F.size(y), differ(x, y)).when(F.size(x) > F.size(y), differ(half(x), y)).otherwise(differ(x, half(y)))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (bits <= most_apart(n, m, similarity))
+
+
+def most_apart(n: Column, m: Column, similarity: float) -> Column:
+    """How many elements are in one only of two sets of n and m with a Jaccard of similarity."""
+    return (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
+
+
 def of_texts(texts: DataFrame, make, kind: str) -> DataFrame:
     """texts: class, text -> class and what make gives for the text; a task gives a text's rows once
     unless it meets more than SEEN_MOST others in between."""
@@ -204,24 +236,56 @@ def prefixes(texts: DataFrame, common: np.ndarray, similarity: float) -> DataFra
     return of_texts(texts, make, "s long, i int, n int")
 
 
-def rest_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def rest_pairs(shared: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b) of texts in different groups that share a shingle of shared (class, s, i, n)
-    and that sizes and places do not rule out."""
-    named = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = named.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("s")
-    named = saved(named.join(mixed, "s", "left_semi"))
-    x, y = (named.select("s", *[F.col(c).alias(c + e) for c in ("class", "root", "i", "n")]) for e in "xy")
-    found = x.join(y, "s").filter("classx < classy and rootx <> rooty")
+    and that sizes, places and sketches do not rule out. facts: class, root, n, sketch, and the
+    sketch's smallest form, p and q, which rules most of them out before pairs are moved.
+
+    Sizes are part of the join key, in steps of 1 / similarity: similar texts are at most one step
+    apart, and texts with a frequent shingle are dealt by their size."""
+    of = W.partitionBy("s")
+    named = shared.join(facts.drop("n", "sketch"), "class").withColumns({"x": F.min("root").over(of), "y": F.max("root").over(of)}).filter("x <> y").drop("x", "y")
+    named = saved(named.withColumn("step", F.floor(F.log("n") / F.lit(float(-np.log(similarity))) + 1e-9)))
+    x, y = (named.select("s", *[F.col(c).alias(c + e) for c in ("class", "root", "i", "n", "p", "q", "step")]) for e in "xy")
+    x = x.withColumn("stepy", F.explode(F.array("stepx", F.col("stepx") + 1)))
+    found = x.join(y, ["s", "stepy"]).filter("rootx <> rooty and (stepx < stepy or classx < classy)")
     most = F.least("ix", "iy") + 1 + F.least(F.expr("nx - ix - 1"), F.expr("ny - iy - 1"))
     found = found.filter(most >= similarity * (F.col("nx") + F.col("ny") - most) - 1e-6)
-    return found.select(F.col("classx").alias("a"), F.col("classy").alias("b")).distinct()
-
-
-def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose sets (class, s) have a Jaccard of at least similarity."""
+    found = found.filter(F.expr("bit_count(px ^ py) + bit_count(qx ^ qy)") <= most_apart(F.col("nx"), F.col("ny"), similarity))
+    found = found.select(F.least("classx", "classy").alias("a"), F.greatest("classx", "classy").alias("b")).distinct()
+    ends = facts.select("class", F.struct("n", "sketch").alias("f"))
+    for c in "ab":
+        found = found.join(ends.withColumnsRenamed({"class": c, "f": f"f{c}"}), c)
+    return saved(found.filter(may_be_alike(F.col("fa.sketch"), F.col("fb.sketch"), F.col("fa.n"), F.col("fb.n"), similarity)).select("a", "b"))
+
+
+def alike(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts' shingle sets have a Jaccard of at least similarity. Only the
+    texts that links ask for are moved: a Bloom filter keeps the others where they are."""
+    asked = saved(links.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    bits = min(BLOOM_MOST, max(1 << 16, 1 << (16 * asked.count()).bit_length()))
+    marks = bloom(asked.select(F.col("class.c0").alias("s")), bits)
+    sets = texts.filter(maybe_in(marks, F.col("class.c0"), bits)).join(asked, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
+    sets = saved(sets.select("class", word_shingles(F.col("text")).alias("s")))
     pairs = links.join(sets.withColumnsRenamed({"class": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"class": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return saved(pairs.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+
+
+def print_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """prints: class, prints, sketch, n -> (a, b): texts with equal prints with one of them, and
+    close prints by one text each, unless their sketches rule them out."""
+    links = None
+    for t in range(PRINTS):
+        of = prints.select(F.col("prints")[t].alias("fp"), F.struct("class", "sketch", "n").alias("x"))
+        reps = saved(of.groupBy("fp").agg(F.min("x").alias("y"), F.count("*").alias("n")))
+        star = of.join(reps.filter("n > 1"), "fp").select("x", "y")
+        near = close_pairs(reps.select("fp")).distinct()
+        near = near.join(reps.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), "y"), "b")
+        both = star.unionByName(near.select("x", "y")).filter(F.col("x.class") != F.col("y.class"))
+        both = both.filter(may_be_alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), similarity)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+        links = both if links is None else links.unionByName(both)
+    return saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -232,36 +296,28 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     RADIUS bits at most in any of PRINTS tables are compared, those with equal fingerprints with one
     of them, close fingerprints by one text each. This joins large groups cheaply but misses links.
     Then the rest: every two texts of different groups that share a shingle of their prefixes, which
-    any similar two do."""
+    any similar two do. Pairs are compared in full only where their parity sketches allow it."""
 
     def run(batches):
         for batch in batches:
-            prints = [word_prints(t.as_py() or b"") for t in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], names=["class", "prints"])
+            made = [(word_prints(t), sketch(s := shingle_numbers(t)), len(s)) for t in (x.as_py() for x in batch.column(1).cast(pa.large_binary()))]
+            small = [folded(k) for _, k, _ in made]
+            lists = [pa.array([list(m[i]) for m in made], pa.list_(pa.int64())) for i in (0, 1)]
+            longs = [pa.array([k[i] for k in small], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *longs, pa.array([m[2] for m in made], pa.int32())], names=["class", *FACTS])
 
     texts = docs.select(text_class(F.col("text")).alias("class"), "text")
-    prints = saved(texts.mapInArrow(run, f"{CLASS}, prints array<bigint>").groupBy("class").agg(F.first("prints").alias("prints")))
-    links = None
-    for t in range(PRINTS):
-        of = prints.select("class", F.col("prints")[t].alias("fp"))
-        reps = saved(of.groupBy("fp").agg(F.min("class").alias("rep"), F.count("*").alias("n")))
-        star = of.join(reps.filter("n > 1"), "fp").select(F.col("class").alias("a"), F.col("rep").alias("b"))
-        near = close_pairs(reps.select("fp")).distinct()
-        near = near.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
-        both = star.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        links = both if links is None else links.unionByName(both)
-    links = saved(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    low = texts.select("class", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    prints = low.mapInArrow(run, f"{CLASS}, prints array<bigint>, sketch array<bigint>, p bigint, q bigint, n int")
+    prints = saved(prints.groupBy("class").agg(*[F.first(c).alias(c) for c in FACTS]))
+    first = alike(print_links(prints, similarity), texts, similarity)
+    roots = components(first).withColumnRenamed("node", "class")
+    facts = saved(prints.drop("prints").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    # shingles that only copies of one text hold link nothing
+    of = W.partitionBy("s")
     firsts = prefixes(texts, common_shingles(texts, prints.count()), similarity).repartition("s")
-    shared = saved(firsts.withColumn("of", F.count("*").over(W.partitionBy("s"))).filter("of > 1").drop("of").distinct())
-    asked = saved(shared.select("class").distinct())
-    # most texts share nothing: a Bloom filter keeps them from being moved for the join
-    bits = min(BLOOM_MOST, max(1 << 16, 1 << (16 * asked.count()).bit_length()))
-    marks = bloom(asked.select(F.col("class.c0").alias("s")), bits)
-    sets = texts.filter(maybe_in(marks, F.col("class.c0"), bits)).join(asked, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
-    sets = saved(sets.select("class", word_shingles(F.col("text")).alias("s")))
-    first = saved(alike(links, sets, similarity))
-    roots = saved(components(first).withColumnRenamed("node", "class"))
-    rest = alike(rest_pairs(shared, roots, similarity), sets, similarity)
+    shared = firsts.withColumns({"x": F.min("class").over(of), "y": F.max("class").over(of)}).filter("x <> y").drop("x", "y").distinct()
+    rest = alike(rest_pairs(shared, facts, similarity), texts, similarity)
     return components(first.unionByName(rest)).withColumnRenamed("node", "class")
 
 

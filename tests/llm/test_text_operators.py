@@ -460,3 +460,20 @@ def test_gradients():
         down = loss()
         net.p[k][at] += step
         assert grad[k][at] == pytest.approx((up - down) / (2 * step), abs=2e-4)
+
+
+def test_sketches_never_rule_out_similar_sets(spark):
+    draw, rows, real = np.random.default_rng(3), [], {}
+    for case in range(300):
+        n = int(draw.integers(1, 1500))
+        one = np.unique(draw.integers(-(1 << 62), 1 << 62, n))
+        two = np.unique(np.concatenate([draw.permutation(one)[: max(1, int(len(one) * draw.uniform(0.7, 1)))], draw.integers(-(1 << 62), 1 << 62, int(n * draw.uniform(0, 0.4)))]))
+        real[case] = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
+        rows.append((case, *[simhash_dedup.sketch(s).tolist() for s in (one, two)], len(one), len(two)))
+    frame = spark.createDataFrame(rows, "id int, x array<bigint>, y array<bigint>, n int, m int")
+    kept = {r.id for r in frame.filter(simhash_dedup.may_be_alike(F.col("x"), F.col("y"), F.col("n"), F.col("m"), 0.8)).collect()}
+    assert {i for i, j in real.items() if j >= 0.8} <= kept and not any(real[i] < 0.4 for i in kept)
+    for _, x, y, _, _ in rows:
+        apart = lambda a, b: sum(int(p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(a, b))
+        if len(x) == len(y):
+            assert apart(simhash_dedup.folded(np.array(x)), simhash_dedup.folded(np.array(y))) <= apart(x, y)
