@@ -26,6 +26,8 @@ from graphev.llm.common import BLANKS, ascii_lower, hash128, saved, shuffle_part
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 KEY = ["h1", "h2"]
+#: Parts of a key when rows meet its owner.
+SALTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -81,6 +83,35 @@ def compacted(runs: list[DataFrame]) -> DataFrame:
     return every
 
 
+def add_batch(levels: list[list[DataFrame]], new: DataFrame, fanout: int) -> list[list[DataFrame]]:
+    """The runs after a batch. levels: the runs so far, by level; new: the batch's distinct keys (h1,
+    h2, n, owner), all of its doc_ids smaller than those of the batches before. Keys that no run
+    knows keep their owner, known ones only add to the count. Runs may come from earlier jobs, as
+    they are plain tables; those of saved_run merge without a shuffle."""
+    known = [run for level in levels for run in level]
+    fresh = new
+    for run in known:
+        fresh = fresh.join(run.filter(F.col("owner").isNotNull()), KEY, "left_anti")
+    if known:
+        marked = new.join(fresh.select(*KEY, F.lit(True).alias("fresh")), KEY, "left")
+        new = marked.select(*KEY, "n", F.when(F.col("fresh"), F.col("owner")).alias("owner"))
+    levels = [list(level) for level in levels] or [[]]
+    levels[0].append(new)
+    at = 0
+    while len(levels[at]) >= fanout:
+        if at + 1 == len(levels):
+            levels.append([])
+        levels[at + 1].append(saved_run(compacted(levels[at])))
+        levels[at] = []
+        at += 1
+    return levels
+
+
+def all_keys(levels: list[list[DataFrame]]) -> DataFrame:
+    """h1, h2, n, owner of every key in the runs."""
+    return compacted([run for level in levels for run in level])
+
+
 def key_runs(rows: DataFrame, batches: int, fanout: int) -> DataFrame:
     """All keys with their number of documents and their owner."""
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
@@ -90,33 +121,26 @@ def key_runs(rows: DataFrame, batches: int, fanout: int) -> DataFrame:
         batch = F.when(F.col("doc_id") > cut, F.least(batch, F.lit(len(set(cuts)) - 1 - i))).otherwise(batch)
     grouped = rows.withColumn("batch", batch).groupBy("batch", *KEY).agg(F.sum(F.col("first").cast("long")).alias("n"), F.max("doc_id").alias("owner"))
     arrived = saved_run(grouped)
-    levels: list[list[DataFrame]] = [[]]
+    levels: list[list[DataFrame]] = []
     for b in range(len(set(cuts)) + 1):
-        new = arrived.filter(F.col("batch") == b).select(*KEY, "n", "owner")
-        known = [run for level in levels for run in level]
-        fresh = new
-        for run in known:
-            fresh = fresh.join(run.filter(F.col("owner").isNotNull()), KEY, "left_anti")
-        if known:
-            marked = new.join(fresh.select(*KEY, F.lit(True).alias("fresh")), KEY, "left")
-            new = marked.select(*KEY, "n", F.when(F.col("fresh"), F.col("owner")).alias("owner"))
-        levels[0].append(new)
-        at = 0
-        while len(levels[at]) >= fanout:
-            if at + 1 == len(levels):
-                levels.append([])
-            levels[at + 1].append(saved_run(compacted(levels[at])))
-            levels[at] = []
-            at += 1
-    return compacted([run for level in levels for run in level])
+        levels = add_batch(levels, arrived.filter(F.col("batch") == b).select(*KEY, "n", "owner"), fanout)
+    return all_keys(levels)
+
+
+def lost_lines(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """(r0, r1, _lost): the positions of the lines that a document loses. A line that very many
+    documents hold is one key, so rows are dealt over SALTS parts of a key, and each part gets the
+    key's owner."""
+    owners = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = rows.withColumn("salt", F.pmod("r0", F.lit(SALTS)).cast("int")).join(owners, [*KEY, "salt"])
+    return found.filter(F.col("doc_id") != F.col("owner")).groupBy("r0", "r1").agg(F.collect_set("pos").alias("_lost"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_lines and n_dropped (long)."""
     rows = saved(line_rows(docs, min_chars))
     common = key_runs(rows, batches, fanout).filter(F.col("n") >= min_docs).select(*KEY, "owner")
-    lost = rows.join(common, KEY).filter(F.col("doc_id") != F.col("owner"))
-    lost = lost.groupBy("r0", "r1").agg(F.collect_set("pos").alias("_lost"))
+    lost = lost_lines(rows, common)
     out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")], *row_key(F.col("doc_id"), F.col("text")))
     lines = lines_of(F.col("text"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), "_lost")

@@ -111,6 +111,25 @@ def test_line_dedup(docs, rows, batches, fanout):
     assert "shard" in got.columns
 
 
+def test_runs_take_batches_one_at_a_time(spark, tmp_path):
+    """Runs written as Parquet by one job and taken up by the next give what one job gives."""
+    rng = random.Random(9)
+    batches = [[(h, h + 1, rng.randrange(1, 4), 1000 - 100 * b - h) for h in rng.sample(range(40), 15)] for b in range(5)]
+    levels: list = []
+    for b, rows in enumerate(batches):
+        levels = line_dedup.add_batch(levels, spark.createDataFrame(rows, "h1 long, h2 long, n long, owner long"), 2)
+        for i, level in enumerate(levels):
+            for j, run in enumerate(level):
+                run.write.parquet(f"{tmp_path}/{b}-{i}-{j}")
+            levels[i] = [spark.read.parquet(f"{tmp_path}/{b}-{i}-{j}") for j in range(len(level))]
+    assert [len(x) for x in levels] == [1, 0, 1]
+    want = {}
+    for rows in batches:
+        for h, _, n, owner in rows:
+            want[h] = (want[h][0] + n, want[h][1]) if h in want else (n, owner)
+    assert {r.h1: (r.n, r.owner) for r in line_dedup.all_keys(levels).collect()} == want
+
+
 def test_line_dedup_of_nothing(none):
     assert line_dedup.dedup_lines(none).count() == 0
 
