@@ -78,7 +78,7 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     near = F.expr("concat(array(head), transform(filter(sequence(0, 15), j -> (shiftrightunsigned(head, j) & 1L) = 0), j -> head | shiftleft(1L, j)))")
     index = ring.select(F.col("fp").alias("other"), "at", "head", F.explode(near).alias("h"))
     index = index.select("other", "at", (F.col("h") == F.col("head")).alias("same"), F.expr(key.format("h")).alias("key"))
-    found = probe.join(index, "key").filter("fp <> other and (not same or fp < other)")
+    found = probe.hint("merge").join(index.hint("merge"), "key").filter("fp <> other and (not same or fp < other)")
     found = found.withColumn("x", F.col("fp").bitwiseXOR(F.col("other"))).withColumn("x", turned("x", "at"))
     found = found.filter(F.bit_count(F.shiftrightunsigned("x", 16)) <= 2).filter(F.bit_count("x") <= RADIUS)
     return found.select(F.col("fp").alias("a"), F.col("other").alias("b"))
@@ -244,7 +244,7 @@ def rest_pairs(shared: DataFrame, facts: DataFrame, similarity: float) -> DataFr
     Sizes are part of the join key, in steps of 1 / similarity: similar texts are at most one step
     apart, and texts with a frequent shingle are dealt by their size."""
     of = W.partitionBy("s")
-    named = shared.join(facts.drop("n", "sketch"), "class").withColumns({"x": F.min("root").over(of), "y": F.max("root").over(of)}).filter("x <> y").drop("x", "y")
+    named = shared.join(facts.drop("n", "sketch").hint("merge"), "class").withColumns({"x": F.min("root").over(of), "y": F.max("root").over(of)}).filter("x <> y").drop("x", "y")
     named = saved(named.withColumn("step", F.floor(F.log("n") / F.lit(float(-np.log(similarity))) + 1e-9)))
     x, y = (named.select("s", *[F.col(c).alias(c + e) for c in ("class", "root", "i", "n", "p", "q", "step")]) for e in "xy")
     x = x.withColumn("stepy", F.explode(F.array("stepx", F.col("stepx") + 1)))
@@ -255,7 +255,7 @@ def rest_pairs(shared: DataFrame, facts: DataFrame, similarity: float) -> DataFr
     found = found.select(F.least("classx", "classy").alias("a"), F.greatest("classx", "classy").alias("b")).distinct()
     ends = facts.select("class", F.struct("n", "sketch").alias("f"))
     for c in "ab":
-        found = found.join(ends.withColumnsRenamed({"class": c, "f": f"f{c}"}), c)
+        found = found.join(ends.withColumnsRenamed({"class": c, "f": f"f{c}"}).hint("merge"), c)
     return saved(found.filter(may_be_alike(F.col("fa.sketch"), F.col("fb.sketch"), F.col("fa.n"), F.col("fb.n"), similarity)).select("a", "b"))
 
 
@@ -265,9 +265,10 @@ def alike(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     asked = saved(links.select(F.explode(F.array("a", "b")).alias("class")).distinct())
     bits = min(BLOOM_MOST, max(1 << 16, 1 << (16 * asked.count()).bit_length()))
     marks = bloom(asked.select(F.col("class.c0").alias("s")), bits)
-    sets = texts.filter(maybe_in(marks, F.col("class.c0"), bits)).join(asked, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
+    sets = texts.filter(maybe_in(marks, F.col("class.c0"), bits)).join(asked.hint("merge"), "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
     sets = saved(sets.select("class", word_shingles(F.col("text")).alias("s")))
-    pairs = links.join(sets.withColumnsRenamed({"class": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"class": "b", "s": "sb"}), "b")
+    pairs = links.hint("merge").join(sets.withColumnsRenamed({"class": "a", "s": "sa"}).hint("merge"), "a")
+    pairs = pairs.join(sets.withColumnsRenamed({"class": "b", "s": "sb"}).hint("merge"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return saved(pairs.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
@@ -279,9 +280,10 @@ def print_links(prints: DataFrame, similarity: float) -> DataFrame:
     for t in range(PRINTS):
         of = prints.select(F.col("prints")[t].alias("fp"), F.struct("class", "sketch", "n").alias("x"))
         reps = saved(of.groupBy("fp").agg(F.min("x").alias("y"), F.count("*").alias("n")))
-        star = of.join(reps.filter("n > 1"), "fp").select("x", "y")
+        star = of.join(reps.filter("n > 1").hint("merge"), "fp").select("x", "y")
         near = close_pairs(reps.select("fp")).distinct()
-        near = near.join(reps.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), "y"), "b")
+        near = near.hint("merge").join(reps.select(F.col("fp").alias("a"), F.col("y").alias("x")).hint("merge"), "a")
+        near = near.join(reps.select(F.col("fp").alias("b"), "y").hint("merge"), "b")
         both = star.unionByName(near.select("x", "y")).filter(F.col("x.class") != F.col("y.class"))
         both = both.filter(may_be_alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), similarity)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
         links = both if links is None else links.unionByName(both)
@@ -296,7 +298,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     RADIUS bits at most in any of PRINTS tables are compared, those with equal fingerprints with one
     of them, close fingerprints by one text each. This joins large groups cheaply but misses links.
     Then the rest: every two texts of different groups that share a shingle of their prefixes, which
-    any similar two do. Pairs are compared in full only where their parity sketches allow it."""
+    any similar two do. Pairs are compared in full only where their parity sketches allow it. All
+    joins here are merged: their sides grow with the texts, and several broadcasts at once would
+    fill a driver."""
 
     def run(batches):
         for batch in batches:
@@ -312,7 +316,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     prints = saved(prints.groupBy("class").agg(*[F.first(c).alias(c) for c in FACTS]))
     first = alike(print_links(prints, similarity), texts, similarity)
     roots = components(first).withColumnRenamed("node", "class")
-    facts = saved(prints.drop("prints").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    facts = saved(prints.drop("prints").join(roots.hint("merge"), "class", "left").withColumn("root", F.coalesce("root", "class")))
     # shingles that only copies of one text hold link nothing
     of = W.partitionBy("s")
     firsts = prefixes(texts, common_shingles(texts, prints.count()), similarity).repartition("s")
@@ -326,11 +330,11 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
     last). Groups are the components of near_groups; equal texts are one group."""
     light = saved(docs.select("doc_id", text_class(F.col("text")).alias("class")))
     roots = saved(near_groups(docs, similarity))
-    named = light.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = light.join(roots.hint("merge"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "class")
     keep = saved(named.groupBy("root").agg(F.min(order).alias("k"), F.count("*").alias("size")).select("k.doc_id", "k.class"))
     out = docs.withColumn("_class", text_class(F.col("text"))).alias("d")
-    out = out.join(keep.alias("k"), F.expr("d.doc_id <=> k.doc_id and d._class = k.class"), "left_semi")
+    out = out.join(keep.hint("merge").alias("k"), F.expr("d.doc_id <=> k.doc_id and d._class = k.class"), "left_semi")
     # rows that repeat both doc_id and text are one document
     repeated = not light.groupBy("doc_id", "class").count().filter("count > 1").limit(1).isEmpty()
     return (out.dropDuplicates(["doc_id", "_class"]) if repeated else out).drop("_class")
