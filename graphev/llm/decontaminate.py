@@ -35,7 +35,9 @@ BLOCKS, FLIPS = 4, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: The Bloom filter's bits for each item shingle, so that one place in a million passes by chance,
 #: and the most it may have; past that it lets more through, and the join after it drops them.
-BLOOM_BITS, BLOOM_MOST = 256, 1 << 24
+BLOOM_BITS, BLOOM_MOST = 64, 1 << 24
+#: A key's places in the filter are its bits from here on.
+PROBES = (0, 10, 20, 30, 40)
 
 
 def let(value: Column, f) -> Column:
@@ -77,7 +79,7 @@ def counted(s: Column) -> Column:
 
 def bloom(keys: DataFrame, bits: int) -> Column:
     """The filter as an array literal; BLOOM_MOST bounds it to 2 MB. keys: s."""
-    places = keys.select(F.explode(F.array(*[F.shiftrightunsigned("s", n).bitwiseAND(F.lit(bits - 1)) for n in (0, 20, 40)])).alias("p"))
+    places = keys.select(F.explode(F.array(*[F.shiftrightunsigned("s", n).bitwiseAND(F.lit(bits - 1)) for n in PROBES])).alias("p"))
     words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63L as int))")).alias("v"))
     out = np.zeros(bits // 64, np.int64)
     for w, v in words.collect():
@@ -87,7 +89,7 @@ def bloom(keys: DataFrame, bits: int) -> Column:
 
 def maybe_in(b: Column, s: Column, bits: int) -> Column:
     out = None
-    for n in (0, 20, 40):
+    for n in PROBES:
         p = F.shiftrightunsigned(s, n).bitwiseAND(F.lit(bits - 1))
         hit = F.call_function("shiftrightunsigned", F.get(b, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
         out = hit if out is None else out & hit
