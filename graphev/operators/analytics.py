@@ -47,12 +47,22 @@ signed_coverage = Relation(
 FROM {view}) q GROUP BY name""",
     ("view",), {}, "I11",
 )
-signed_spread = Relation(
-    """WITH e AS (SELECT source_name AS s, target_name AS t, (CASE name WHEN 'inhibits' THEN -1.0 WHEN 'activates' THEN 1.0 ELSE 1.0 END) / count(*) OVER (PARTITION BY source_name) AS w FROM {view} WHERE name <> 'modulates'),
-one AS (SELECT s AS drug, t AS node, sum(w) AS x FROM e WHERE s LIKE 'S%' GROUP BY s, t), two AS (SELECT one.drug, e.t AS node, sum(one.x * e.w) AS x FROM one JOIN e ON e.s = one.node GROUP BY one.drug, e.t)
-SELECT drug, node, round(sum(x), 8) AS total FROM (SELECT drug, node, 0.5 * x AS x FROM one UNION ALL SELECT drug, node, 0.25 * x FROM two) q WHERE node LIKE 'N%' GROUP BY drug, node""",
-    ("view",), {}, "I12, I13: signed effects over two steps, each halved, read at the diseases",
-)
+def spread_over(steps: int, decay: float = 0.5) -> Relation:
+    """The effect of a drug after each step is summed per node before the next, so that a step's
+    rows are drugs times nodes at most, however many walks there are."""
+    rounds = ", ".join(
+        f"x{k} AS (SELECT p.drug, e.t AS node, sum(p.x * e.w) AS x FROM x{k - 1} p JOIN e ON e.s = p.node GROUP BY p.drug, e.t)" for k in range(2, steps + 1)
+    )
+    parts = " UNION ALL ".join(f"SELECT drug, node, {decay**k!r} * x AS x FROM x{k}" for k in range(1, steps + 1))
+    return Relation(
+        f"""WITH e AS (SELECT source_name AS s, target_name AS t, (CASE name WHEN 'inhibits' THEN -1.0 ELSE 1.0 END) / count(*) OVER (PARTITION BY source_name) AS w FROM {{view}} WHERE name <> 'modulates'),
+x1 AS (SELECT s AS drug, t AS node, sum(w) AS x FROM e WHERE s LIKE 'S%' GROUP BY s, t), {rounds}
+SELECT drug, node, round(sum(x), 8) AS total FROM ({parts}) q WHERE node LIKE 'N%' GROUP BY drug, node""",
+        ("view",), {}, "I12, I13: signed effects over the steps, each weaker by decay, read at the diseases; edges without a sign carry none",
+    )
+
+
+signed_spread = spread_over(4)
 reaches = Relation(
     """WITH one AS (SELECT DISTINCT source_name AS node FROM {view} WHERE target_type = 'Disease'), two AS (SELECT DISTINCT v.source_name AS node FROM {view} v JOIN one ON one.node = v.target_name)
 SELECT node, min(k) AS steps FROM (SELECT node, 1 AS k FROM one UNION ALL SELECT node, 2 FROM two) q GROUP BY node""",

@@ -19,8 +19,11 @@ FROM (SELECT l_suppkey, l_partkey, CASE WHEN l_linestatus = 'F' THEN least(0.98,
     ("lineitem", "part"), {}, "D3, D3a, D3b, D3c: weighted mean of the components a pair has",
 )
 parallel_paths = R(
-    """SELECT a, c, n, round(1 - (high - low), 6) AS score FROM (SELECT a, c, count(DISTINCT b) AS n, max(composite) AS high, min(composite) AS low FROM {horns} GROUP BY a, c) q WHERE n >= 2""",
-    ("horns",), {}, "D14: how alike a pair's parallel paths are",
+    """WITH p AS (SELECT f.source_name AS a, g.target_name AS c, f.target_name AS b, max(greatest(f.confidence, g.confidence)) AS best FROM {last} f JOIN {last} g ON f.target_name = g.source_name
+WHERE f.source_type = 'Drug' AND g.target_type = 'Disease' GROUP BY f.source_name, g.target_name, f.target_name),
+d AS (SELECT a, c, best - lag(best) OVER (PARTITION BY a, c ORDER BY best) AS gap FROM p)
+SELECT a, c, count(*) AS n, round(1 - min(gap), 6) AS score FROM d GROUP BY a, c HAVING count(*) >= 2""",
+    ("last",), {}, "D14: how alike the two most alike parallel paths of a pair are; a path counts by its best edge",
 )
 contradictions = R(
     """SELECT source_name, target_name, count(DISTINCT name) AS relations, bool_or(name = 'inhibits') AND bool_or(name = 'activates') AS contradicts, min(confidence) AS weakest FROM {view} WHERE source_type = 'Drug' GROUP BY source_name, target_name""",
@@ -45,8 +48,11 @@ packet = R(
     ("scores",), {"controls": 3, "most": 7}, "E17: known positives and the best unlabelled pairs of a disease",
 )
 calibrated = R(
-    """SELECT s.source, s.target, min(b.label_rate) AS rate, min(b.bin) AS bin FROM {scores} s JOIN {bins} b ON s.score <= b.score_max AND s.score >= b.score_min GROUP BY s.source, s.target""", ("scores", "bins"), {}, "E19: a score's bin, the lowest that holds it"
-)
+    """WITH last AS (SELECT max(bin) AS bin, max_by(label_rate, bin) AS rate FROM {bins}), r AS (SELECT DISTINCT score FROM {scores}),
+f AS (SELECT r.score, min(b.bin) AS bin, min_by(b.label_rate, b.bin) AS rate FROM r LEFT JOIN {bins} b ON r.score <= b.score_max GROUP BY r.score)
+SELECT s.source, s.target, coalesce(f.rate, l.rate) AS rate, coalesce(f.bin, l.bin) AS bin FROM {scores} s JOIN f ON f.score = s.score, last l""",
+    ("scores", "bins"), {}, "E19: the first bin whose maximum holds the score, else the last; bins are a handful of rows",
+)
 tier_confidence = R(
     """SELECT source_name, count(*) AS edges, round(sum(w * confidence) / sum(w), 6) AS weighted, round(stddev_pop(confidence), 6) AS spread, CASE WHEN avg(w) >= 0.8 THEN 'strong' WHEN avg(w) >= 0.5 THEN 'medium' ELSE 'weak' END AS strength
 FROM (SELECT source_name, confidence, CASE WHEN contains(provenance, 'ChEMBL') THEN 1.0 WHEN contains(provenance, 'FDA') THEN 0.9 WHEN contains(provenance, 'STRING') THEN 0.7 ELSE 0.5 END AS w FROM {morphisms}) q GROUP BY source_name""",
@@ -58,7 +64,7 @@ FROM {votes} v JOIN {scores} s ON s.source = v.source AND s.target = v.target GR
     ("votes", "scores"), {}, "E27",
 )
 attention = R(
-    """SELECT f.a, f.c, f.b, CASE WHEN s.chains <= 50 THEN 'drug_wide' WHEN s.chains <= 200 THEN 'pair' ELSE 'well_studied' END AS class, f.f_name <> 'modulates' AND s.chains <= 200 AS target_zone FROM {fillers} f JOIN {scores} s ON s.source = f.a AND s.target = f.c WHERE NOT s.label""",
+    """SELECT f.a, f.c, f.b, CASE WHEN s.chains <= 25 THEN 'pair' WHEN s.chains <= 50 THEN 'drug_wide' ELSE 'well_studied' END AS class, f.f_name <> 'modulates' AND s.chains <= 25 AS target_zone FROM {fillers} f JOIN {scores} s ON s.source = f.a AND s.target = f.c WHERE NOT s.label""",
     ("fillers", "scores"), {}, "E29",
 )
 evaluation = R("SELECT a.positives, a.negatives, a.auroc, p.auprc, m.mrr FROM {auroc} a, {auprc} p, {mrr} m", ("auroc", "auprc", "mrr"), {}, "F7: a view's metrics in one row")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from graphev.functions.shared import new_dir
 from graphev.operators import analytics, components, evidence, metrics, more, paths, resample, scoring, vectors, views, votes
 from graphev.operators.relation import Relation
+from graphev.plans.checks import CHECKS
 from graphev.sources import loaders, starmap
 from graphev.streaming import forecast
 
@@ -32,8 +33,10 @@ HELPERS: dict[str, Node] = {
     "labels_": (Relation("SELECT source_name, target_name, confidence FROM {typed} WHERE name = 'treats'", ("typed",)), ("typed",)),
     "pairs": (views.pair_universe, ("objects",)),
     "horns": (paths.inner_horns, ("strict", "labels_")),
-    "walks": (paths.walks, ("thin",)),
-    "thin": (Relation("SELECT * FROM {last} WHERE confidence >= 0.6", ("last",)), ("last",)),
+    "walks": (paths.walks, ("last",)),
+    # no confidence is over 1, so a path whose product reaches 0.4 / 0.9 has no weaker edge
+    "strong": (Relation("SELECT * FROM {last} WHERE confidence >= 0.44", ("last",)), ("last",)),
+    "strong_walks": (paths.walks, ("strong",)),
     "stream": (starmap.EVENTS, ("events",)),
     "neighbours": (analytics.neighbours, ("strict",)),
     "vote_overlaps": (votes.overlaps, ("typed",)),
@@ -78,7 +81,7 @@ QUERY_NODES: dict[str, Node] = {
     "c15_transferred": (paths.transferred, ("strict",)),
     "c16_recoverable": (paths.recoverable, ("labels_", "horns")),
     "c17_reachable_share": (paths.reachable_share, ("pairs", "horns")),
-    "c18_gap_fillers": (paths.gap_fillers, ("walks", "labels_")),
+    "c18_gap_fillers": (paths.gap_fillers, ("strong_walks", "labels_")),
     "d1_composition": (votes.composition, ("last",)),
     "d2_pathway_support": (votes.pathway_support, ("strict",)),
     "d4_analog": (votes.analog, ("vote_overlaps", "labels_")),
@@ -172,7 +175,7 @@ QUERY_NODES: dict[str, Node] = {
 QUERY_NODES |= {
     "c4_walks": (more.walks_any, ("last",)),
     "d3_binding": (more.binding, ("lineitem", "part")),
-    "d14_parallel_paths": (more.parallel_paths, ("horns",)),
+    "d14_parallel_paths": (more.parallel_paths, ("last",)),
     "d20_contradictions": (more.contradictions, ("strict",)),
     "e7_best_chains": (more.best_chains, ("horns",)),
     "e8_missing_evidence": (more.missing_evidence, ("horns",)),
@@ -250,8 +253,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame
     return made[name]
 
 
-def statement(name: str) -> str:
-    """The node in DuckDB's SQL."""
+def head(*names: str) -> str:
+    """The nodes and all they read, as common table expressions n_<name> of DuckDB."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -260,10 +263,21 @@ def statement(name: str) -> str:
                 visit(i)
             order.append(n)
 
-    visit(name)
+    for name in names:
+        visit(name)
     sql = lambda n: NODES[n][0].duckdb(*(f"n_{i}" if i in NODES else i for i in NODES[n][1]))
-    head = ", ".join(f"n_{n} AS MATERIALIZED ({sql(n)})" for n in order)
-    return f"WITH {head} SELECT * FROM n_{name}"
+    return "WITH " + ", ".join(f"n_{n} AS MATERIALIZED ({sql(n)})" for n in order)
+
+
+def statement(name: str) -> str:
+    """The node in DuckDB's SQL."""
+    return f"{head(name)} SELECT * FROM n_{name}"
+
+
+def check(name: str) -> str:
+    """A statement of the checks, over the nodes that it reads."""
+    nodes, sql = CHECKS[name]
+    return f"{head(*nodes)} SELECT * FROM ({sql}) own"
 
 
 def pagerank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,13 +326,12 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY simil
 
 
 def pagerank_sql(rounds: int = 20, damping: float = 0.85) -> str:
-    head = statement("neighbours").removesuffix(" SELECT * FROM n_neighbours")
     parts = ["e AS MATERIALIZED (SELECT a, b, 1.0::DOUBLE / count(*) OVER (PARTITION BY a) AS w FROM n_neighbours)", "v AS MATERIALIZED (SELECT DISTINCT a AS node FROM e UNION SELECT b FROM e)",
              "r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r FROM v)"]
     for i in range(rounds):
         parts.append(f"""r{i + 1} AS MATERIALIZED (SELECT v.node, (1 - {damping}) / (SELECT count(*) FROM v) + {damping} * (coalesce(g.x, 0) + (SELECT coalesce(sum(r), 0) FROM r{i} WHERE node NOT IN (SELECT a FROM e)) / (SELECT count(*) FROM v)) AS r
 FROM v LEFT JOIN (SELECT e.b AS node, sum(r.r * e.w) AS x FROM e JOIN r{i} r ON r.node = e.a GROUP BY e.b) g ON g.node = v.node)""")
-    return f"{head}, {', '.join(parts)} SELECT node, round(r, 8) AS rank FROM r{rounds}"
+    return f"{head('neighbours')}, {', '.join(parts)} SELECT node, round(r, 8) AS rank FROM r{rounds}"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -327,4 +340,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {name: statement(name) for name in QUERY_NODES} | {"i3_pagerank": pagerank_sql(), "j1_cosine_top_k": COSINE_SQL} | {
     "a2_objects_csv": statement("objects").replace("SELECT * FROM n_objects", "SELECT name, type_name, sector, cohort FROM n_objects"),
     "a3_morphisms_csv": statement("morphisms").replace("SELECT * FROM n_morphisms", "SELECT name, source_name, target_name, confidence FROM n_morphisms"),
-}
+} | {name: check(name) for name in CHECKS}

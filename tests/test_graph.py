@@ -1,12 +1,13 @@
 """Small graphs with answers worked out by hand, and all queries against DuckDB."""
 
+import math
 import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from graphev.operators import analytics, evidence, metrics, paths, vectors, views, votes
+from graphev.operators import analytics, evidence, metrics, more, paths, vectors, views, votes
 from graphev.plans import catalog
 from graphev.streaming import forecast
 
@@ -67,8 +68,41 @@ def test_auroc_of_one_class_is_a_half(spark):
 
 
 def test_step_up_is_monotone_and_not_below_p(spark):
-    rows = evidence.step_up(spark.createDataFrame([(i, float(z)) for i, z in enumerate([3.5, 0.1, 2.2, 2.0, -1.0])], "compound int, z double")).orderBy("p").collect()
+    given = [0.0005, 0.92, 0.028, 0.046, 0.32]
+    rows = evidence.step_up(spark.createDataFrame(list(enumerate(given)), "compound int, p double")).orderBy("p").collect()
     assert all(r.q >= r.p for r in rows) and [r.q for r in rows] == sorted(r.q for r in rows)
+    assert [r.q for r in rows] == pytest.approx([0.0025, 0.07, 0.046 * 5 / 3, 0.4, 0.92])
+
+
+def test_normal_tail(spark):
+    at = [0.01, 0.5, 1.0, 1.96, 3.0, 4.0, 5.0, 8.0, 20.0]
+    got = spark.createDataFrame([(z,) for z in at], "z double").selectExpr(evidence.tail("z") + " AS p").collect()
+    assert [r.p for r in got] == pytest.approx([math.erfc(z / math.sqrt(2)) for z in at], rel=2e-7)
+
+
+def test_rank_test_of_separated_and_equal_groups(spark):
+    rows = [("far", i % 2 * 9, 0.1 * i if i % 2 else 0.1 * i + 5) for i in range(20)] + [("tied", i % 2 * 9, 0.5) for i in range(20)]
+    got = {r.compound: r for r in evidence.rank_test(spark.createDataFrame(rows, "compound string, lineage int, auc double")).collect()}
+    z = (50 - 0.5) / math.sqrt(100 * 21 / 12)
+    assert got["far"].u == 100 and got["far"].z == pytest.approx(z, abs=1e-6) and got["far"].p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-4)
+    assert got["tied"].u == 50 and got["tied"].p == 1
+
+
+def test_parallel_paths_by_their_best_edges(spark):
+    rows = [("A", "r", "B", 0.8, "Drug", "Kinase"), ("B", "r", "D", 0.7, "Kinase", "Disease"), ("A", "r", "C", 0.75, "Drug", "Kinase"), ("C", "r", "D", 0.72, "Kinase", "Disease")]
+    assert more.parallel_paths(edges(spark, rows)).first().score == 0.95
+    assert more.parallel_paths(edges(spark, rows[:2])).count() == 0
+
+
+def test_scores_between_and_past_bins(spark):
+    bins = spark.createDataFrame([(0, 0.0, 0.2, 0.1), (1, 0.4, 0.6, 0.5), (2, 0.7, 0.9, 0.8)], "bin int, score_min double, score_max double, label_rate double")
+    scores = spark.createDataFrame([("a", "x", s) for s in (0.1, 0.3, 0.6, 0.65, 0.95)], "source string, target string, score double")
+    assert [(r.bin, r.rate) for r in more.calibrated(scores.coalesce(1), bins).orderBy("bin", "rate").collect()] == [(0, 0.1), (1, 0.5), (1, 0.5), (2, 0.8), (2, 0.8)]
+
+
+def test_signed_spread_over_four_steps(spark):
+    rows = [("S1", "inhibits", "P1", 1.0, "Drug", "Kinase"), ("P1", "activates", "P2", 1.0, "Kinase", "Kinase"), ("P1", "modulates", "P9", 1.0, "Kinase", "Kinase"), ("P2", "inhibits", "P3", 1.0, "Kinase", "Kinase"), ("P2", "activates", "P4", 1.0, "Kinase", "Kinase"), ("P3", "driver_of", "N1", 1.0, "Kinase", "Disease")]
+    assert [tuple(r) for r in analytics.signed_spread(edges(spark, rows)).collect()] == [("S1", "N1", 0.5**4 * -1 * 1 * -0.5)]
 
 
 def test_kcore_and_pagerank(spark):
