@@ -63,11 +63,17 @@ SELECT drug, node, round(sum(x), 8) AS total FROM ({parts}) q WHERE node LIKE 'N
 
 
 signed_spread = spread_over(4)
-reaches = Relation(
-    """WITH one AS (SELECT DISTINCT source_name AS node FROM {view} WHERE target_type = 'Disease'), two AS (SELECT DISTINCT v.source_name AS node FROM {view} v JOIN one ON one.node = v.target_name)
-SELECT node, min(k) AS steps FROM (SELECT node, 1 AS k FROM one UNION ALL SELECT node, 2 FROM two) q GROUP BY node""",
-    ("view",), {}, "I14: what reaches a disease, in how many steps",
-)
+def reaches_within(steps: int) -> Relation:
+    """Each step asks only what reaches the nodes that the step before found."""
+    rounds = ", ".join(f"r{k} AS (SELECT DISTINCT v.source_name AS node FROM {{view}} v JOIN r{k - 1} r ON r.node = v.target_name)" for k in range(2, steps + 1))
+    parts = " UNION ALL ".join(f"SELECT node, {k} AS k FROM r{k}" for k in range(1, steps + 1))
+    return Relation(
+        f"""WITH r1 AS (SELECT DISTINCT source_name AS node FROM {{view}} WHERE target_type = 'Disease'), {rounds} SELECT node, min(k) AS steps FROM ({parts}) q GROUP BY node""",
+        ("view",), {}, "I14: what reaches a disease, in how many steps",
+    )
+
+
+reaches = reaches_within(4)
 section_gap = Relation(
     """SELECT name, count(*) AS edges, round(avg(abs(x.size_value - y.size_value) / greatest(abs(x.size_value), abs(y.size_value), 1)), 6) AS mean_gap, round(sum((x.size_value - y.size_value) * (x.size_value - y.size_value)), 2) AS variation
 FROM {view} v JOIN {objects} x ON x.name = v.source_name JOIN {objects} y ON y.name = v.target_name GROUP BY v.name""".replace("SELECT name", "SELECT v.name AS name"),

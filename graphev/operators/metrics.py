@@ -1,7 +1,8 @@
 """Evaluation: ranking metrics, funnels, calibration. scores: source, target, score, label (boolean).
 
-Ranks that need one order over all rows work on distinct scores with their counts (AUROC, AUPRC),
-so that the window over everything is as small as the number of distinct scores.
+Ranks that need one order over all rows work on distinct scores with their counts, so that the
+window over everything is as small as the number of distinct scores (they have six digits), or on
+ranks: scores with their place k from a range shuffle. A fixed number of best rows is a limit.
 """
 
 from __future__ import annotations
@@ -22,19 +23,19 @@ SELECT round(coalesce(sum(p * tp / CAST(seen AS DOUBLE)) / nullif(CAST(sum(p) AS
     ("scores",), {}, "F2, ties as one step",
 )
 precision_at = Relation(
-    """WITH r AS (SELECT label, row_number() OVER (ORDER BY score DESC, source, target) AS k FROM {scores})
+    """WITH r AS (SELECT label, row_number() OVER (ORDER BY score DESC, source, target) AS k FROM (SELECT * FROM {scores} ORDER BY score DESC, source, target LIMIT 50) b)
 SELECT x.n AS at_k, count(*) FILTER (WHERE label) AS hits, round(count(*) FILTER (WHERE label) / CAST(x.n AS DOUBLE), 6) AS share FROM r JOIN (VALUES (5), (10), (20), (50)) AS x(n) ON k <= x.n GROUP BY x.n""",
     ("scores",), {}, "F3, F17",
 )
 mean_reciprocal_rank = Relation(
-    """SELECT count(*) AS positives, round(avg(1.0 / k), 8) AS mrr FROM (SELECT label, row_number() OVER (ORDER BY score DESC, source, target) AS k FROM {scores}) q WHERE label""", ("scores",), {}, "F4"
+    """SELECT count(*) AS positives, round(avg(1.0 / k), 8) AS mrr FROM {ranks} WHERE label""", ("ranks",), {}, "F4"
 )
 funnel = Relation(
-    """WITH r AS (SELECT label, row_number() OVER (ORDER BY score DESC, source, target) AS k, count(*) OVER () AS n FROM {scores})
+    """WITH t AS (SELECT count(*) AS n FROM {ranks}), r AS (SELECT label, k, n FROM {ranks}, t)
 SELECT f.share, max(n) AS n, count(*) FILTER (WHERE label AND k <= greatest(1, floor(n * f.share))) AS captured,
 round(count(*) FILTER (WHERE label AND k <= greatest(1, floor(n * f.share))) / nullif(count(*) FILTER (WHERE label) * CAST(max(f.share) AS DOUBLE), 0), 6) AS enrichment
 FROM r, (VALUES (0.05), (0.1), (0.2), (0.5)) AS f(share) GROUP BY f.share""",
-    ("scores",), {}, "F13: labels in the best shares",
+    ("ranks",), {}, "F13: labels in the best shares",
 )
 degree_baseline = Relation(
     """WITH d AS (SELECT source_name AS who, count(*) AS n FROM {view} GROUP BY source_name), e AS (SELECT target_name AS who, count(*) AS n FROM {view} GROUP BY target_name)
@@ -59,11 +60,11 @@ SELECT target, p, round((rs - p * (p + 1) / 2.0) / (CAST(p AS DOUBLE) * n), 6) A
     ("scores",), {"least": 2}, "F10: each disease by itself",
 )
 calibration_bins = Relation(
-    """WITH r AS (SELECT score, label, row_number() OVER (ORDER BY score, source, target) AS k, count(*) OVER () AS n FROM {scores}),
+    """WITH t AS (SELECT count(*) AS n FROM {upward}), r AS (SELECT score, label, k, n FROM {upward}, t),
 b AS (SELECT *, CAST(floor((k - 1) * :bins / CAST(n AS DOUBLE)) AS INT) AS bin FROM r)
 SELECT bin, count(*) AS n, min(score) AS score_min, max(score) AS score_max, count(*) FILTER (WHERE label) AS positives, round(avg(score), 6) AS mean_score,
 round(count(*) FILTER (WHERE label) / CAST(count(*) AS DOUBLE), 6) AS label_rate FROM b GROUP BY bin""",
-    ("scores",), {"bins": 10}, "F14: bins of equal size",
+    ("upward",), {"bins": 10}, "F14: bins of equal size",
 )
 calibration_error = Relation(
     """SELECT count(*) AS bins, round(avg(gap), 6) AS ece, round(max(gap), 6) AS mce FROM (SELECT abs(avg(score) - avg(CASE WHEN label THEN 1.0 ELSE 0.0 END)) AS gap FROM {scores}
@@ -71,8 +72,12 @@ GROUP BY least(CAST(floor(score * :bins) AS INT), :bins - 1)) q""",
     ("scores",), {"bins": 10}, "F15",
 )
 spearman = Relation(
-    """WITH r AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS a, rank() OVER (ORDER BY chains) + (count(*) OVER (PARTITION BY chains) - 1) / 2.0 AS b FROM {scores})
-SELECT count(*) AS n, round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 6) AS rho FROM r""",
+    """WITH g AS (SELECT score, chains, count(*) AS n FROM {scores} GROUP BY score, chains),
+a AS (SELECT score, sum(n) OVER (ORDER BY score) - (n - 1) / 2.0 AS r FROM (SELECT score, sum(n) AS n FROM g GROUP BY score) x),
+b AS (SELECT chains, sum(n) OVER (ORDER BY chains) - (n - 1) / 2.0 AS r FROM (SELECT chains, sum(n) AS n FROM g GROUP BY chains) y),
+m AS (SELECT g.n, CAST(a.r AS DOUBLE) AS x, CAST(b.r AS DOUBLE) AS y FROM g JOIN a ON a.score = g.score JOIN b ON b.chains = g.chains),
+c AS (SELECT sum(n) AS n, sum(n * x) / sum(n) AS mx, sum(n * y) / sum(n) AS my FROM m)
+SELECT CAST(max(c.n) AS BIGINT) AS n, round(sum(m.n * (x - mx) * (y - my)) / nullif(sqrt(sum(m.n * (x - mx) * (x - mx)) * sum(m.n * (y - my) * (y - my))), 0), 6) AS rho FROM m, c""",
     ("scores",), {}, "F23",
 )
 label_audit = Relation(

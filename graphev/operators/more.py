@@ -74,18 +74,18 @@ LEFT JOIN (SELECT l.source_name, l.target_name, l.confidence, b.sector FROM {lab
     ("labels", "objects"), {}, "F8: every label held out at once, as a column; its vote from the others",
 )
 holdout_candidates = R(
-    """SELECT count(*) AS candidates, count(*) FILTER (WHERE label) AS positives, count(*) FILTER (WHERE label AND k <= 20) AS top_20 FROM (SELECT label, row_number() OVER (ORDER BY score DESC, source, target) AS k FROM {scores} WHERE votes > 0) q""", ("scores",), {}, "F11"
+    """SELECT count(*) AS candidates, count(*) FILTER (WHERE label) AS positives, (SELECT count(*) FILTER (WHERE label) FROM (SELECT label FROM {scores} WHERE votes > 0 ORDER BY score DESC, source, target LIMIT 20) b) AS top_20 FROM {scores} WHERE votes > 0""", ("scores",), {}, "F11"
 )
 external_labels = R(
     """SELECT source_name, target_name FROM (SELECT DISTINCT a AS source_name, c AS target_name FROM {horns} WHERE composite >= 0.6) e EXCEPT SELECT source_name, target_name FROM {labels}""", ("horns", "labels"), {}, "F12, M1: external pairs that are no internal labels"
 )
 fold_recall = R(
-    """SELECT fold, count(*) AS labels, round(avg(CASE WHEN score >= :at THEN 1.0 ELSE 0.0 END), 6) AS recall FROM (SELECT score, row_number() OVER (ORDER BY source, target) % 5 AS fold FROM {scores} WHERE label) q GROUP BY fold""", ("scores",), {"at": 0.5}, "F18"
+    """SELECT fold, count(*) AS labels, round(avg(CASE WHEN score >= :at THEN 1.0 ELSE 0.0 END), 6) AS recall FROM (SELECT score, k % 5 AS fold FROM {ranked_labels}) q GROUP BY fold""", ("ranked_labels",), {"at": 0.5}, "F18"
 )
 scrambled = R(
-    """WITH n AS (SELECT source, target, score, row_number() OVER (ORDER BY source, target) AS k, count(*) OVER () AS n FROM {scores})
+    """WITH t AS (SELECT count(*) AS n FROM {by_name}), n AS (SELECT source, target, score, k, n FROM {by_name}, t)
 SELECT round(avg(CASE WHEN a.score >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS agree, round(avg(CASE WHEN b.score >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS agree_scrambled FROM n a JOIN n b ON b.k = (a.k * 7919) % a.n + 1""",
-    ("scores",), {}, "F21: the same pairs with other targets",
+    ("by_name",), {}, "F21: the same pairs with other targets",
 )
 interaction_metrics = R("SELECT from_kind = to_kind AS same_kind, count(*) AS kinds, round(avg(mean_confidence), 6) AS mean_confidence FROM {motifs} GROUP BY from_kind = to_kind", ("motifs",), {}, "F25")
 curvature_by_type = R("SELECT o.type_name, count(*) AS nodes, round(avg(n.kappa), 6) AS kappa, round(corr(n.kappa, o.size_value), 5) AS with_size FROM {nodes} n JOIN {objects} o ON o.name = n.node GROUP BY o.type_name", ("nodes", "objects"), {}, "F26")
@@ -163,9 +163,12 @@ SELECT a.cell AS a, b.cell AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b
     ("cells",), {"reach": 2.0}, "I9: edges of the radius graph, over a grid",
 )
 synergy = R(
-    """WITH s AS (SELECT drug, sum(total) AS x FROM {spread} GROUP BY drug), m AS (SELECT median(x) AS mid FROM s)
-SELECT a.drug AS a, b.drug AS b, round(a.x + b.x, 8) AS joint FROM s a JOIN s b ON a.drug < b.drug, m WHERE a.x <= m.mid AND b.x <= m.mid AND a.x > m.mid * 0.9 AND b.x > m.mid * 0.9 AND a.x + b.x > m.mid""",
-    ("spread",), {}, "I15, I16: pairs that only together pass a threshold",
+    """WITH s AS (SELECT drug, round(sum(total), 6) AS x FROM {spread} GROUP BY drug), m AS (SELECT median(abs(x)) AS bar FROM s),
+fit AS (SELECT drug, x, bar FROM s, m WHERE x <= bar AND abs(x) > :floor),
+v AS (SELECT v, bar, sum(own) AS own, sum(asks) AS asks FROM (SELECT x AS v, bar, 1 AS own, 0 AS asks FROM fit UNION ALL SELECT round(bar + :floor - x, 6), bar, 0, 1 FROM fit) u GROUP BY v, bar),
+c AS (SELECT v, asks, coalesce(sum(own) OVER (ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM v)
+SELECT f.drug, f.x AS alone, CAST(c.above - CASE WHEN f.x > round(f.bar + :floor - f.x, 6) THEN 1 ELSE 0 END AS BIGINT) AS partners FROM fit f JOIN c ON c.v = round(f.bar + :floor - f.x, 6) WHERE c.asks > 0""",
+    ("spread",), {"floor": 0.0001}, "I15: drugs under the bar by themselves, with the number of partners that lift them over it by the floor; counted over distinct effects (six digits), never by pairs",
 )
 marker_types = R("SELECT cell, CASE WHEN ligand >= 2 AND receptor >= 2 THEN 'dual' WHEN ligand >= 2 THEN 'sender' WHEN receptor >= 2 THEN 'receiver' ELSE 'other' END AS cell_type FROM {cells}", ("cells",), {}, "K1")
 intracellular = R("SELECT cell, least(ligand, receptor) AS confidence FROM {cells} WHERE ligand >= :least AND receptor >= :least", ("cells",), {"least": 0.5}, "K3")

@@ -93,8 +93,13 @@ FROM {last} f JOIN {last} g ON f.target_name = g.source_name WHERE f.source_type
     ("last",), {}, "C5: the best two-edge path under five semirings",
 )
 gap_fillers = Relation(
-    """SELECT source, target, round(max(weight * CASE length WHEN 2 THEN 0.9 ELSE 0.7 END), 6) AS confidence FROM {walks} w
-WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.source_name = w.source AND l.target_name = w.target) GROUP BY source, target
-HAVING max(weight * CASE length WHEN 2 THEN 0.9 ELSE 0.7 END) >= :least""",
-    ("walks", "labels"), {"least": 0.4}, "C18: pairs without an edge that paths fill, penalised by length",
+    """WITH e AS (SELECT source_name AS s, target_name AS t, name, confidence AS w, source_type AS kind, target_type AS ends FROM {last} WHERE confidence * 0.9 >= :least),
+two AS (SELECT f.s, f.t AS n1, g.t, f.name, f.w * g.w AS w, g.ends FROM e f JOIN e g ON g.s = f.t WHERE f.kind = 'Drug' AND g.t <> f.s AND g.t <> f.t AND f.w * g.w * 0.9 >= :least),
+three AS (SELECT p.s, p.n1, p.t AS n2, g.t, p.name, p.w * g.w AS w, g.ends FROM two p JOIN e g ON g.s = p.t WHERE p.ends <> 'Disease' AND g.t <> p.s AND g.t <> p.n1 AND g.t <> p.t AND p.w * g.w * 0.7 >= :least),
+four AS (SELECT p.s, g.t, p.name, p.w * g.w AS w FROM three p JOIN e g ON g.s = p.t WHERE p.ends <> 'Disease' AND g.ends = 'Disease' AND g.t <> p.s AND g.t <> p.n1 AND g.t <> p.n2 AND p.w * g.w * 0.5 >= :least),
+f AS (SELECT s, t, name, w * 0.9 AS c FROM two WHERE ends = 'Disease' UNION ALL SELECT s, t, name, w * 0.7 FROM three WHERE ends = 'Disease' UNION ALL SELECT s, t, name, w * 0.5 FROM four)
+SELECT f.s AS source, f.t AS target, f.name AS relation, round(max(f.c), 6) AS confidence FROM f
+WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.source_name = f.s AND l.target_name = f.t) AND NOT EXISTS (SELECT 1 FROM {last} d WHERE d.source_name = f.s AND d.target_name = f.t)
+GROUP BY f.s, f.t, f.name""",
+    ("last", "labels"), {"least": 0.4}, "C18: pairs without an edge that paths of two to four edges fill, penalised by length, the best by first relation; a path is left as soon as its product cannot reach the bar any more",
 )

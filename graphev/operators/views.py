@@ -105,7 +105,8 @@ statistics_by_type = Relation(
     "SELECT source_type, name, target_type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM {typed} GROUP BY source_type, name, target_type", ("typed",), {}, "B17 by type"
 )
 last_edges = Relation(
-    """SELECT source_name, target_name, source_type, target_type, max_by(confidence, concat(CAST(created_at AS STRING), id)) AS confidence FROM {view}
+    """SELECT source_name, target_name, source_type, target_type, max_by(confidence, concat(CAST(created_at AS STRING), id)) AS confidence,
+max_by(name, concat(CAST(created_at AS STRING), id)) AS name FROM {view}
 GROUP BY source_name, target_name, source_type, target_type""",
     ("view",), {}, "the last edge of each pair, the one that a single-valued graph holds",
 )

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphev.functions.shared import new_dir
-from graphev.operators import analytics, components, evidence, metrics, more, paths, resample, scoring, vectors, views, votes
+from graphev.operators import analytics, components, evidence, metrics, more, paths, ranks, resample, scoring, vectors, views, votes
 from graphev.operators.relation import Relation
-from graphev.plans.checks import CHECKS
+from graphev.plans.checks import CHECKS, VECTOR_CHECKS
 from graphev.sources import loaders, starmap
 from graphev.streaming import forecast
 
@@ -34,15 +34,16 @@ HELPERS: dict[str, Node] = {
     "pairs": (views.pair_universe, ("objects",)),
     "horns": (paths.inner_horns, ("strict", "labels_")),
     "walks": (paths.walks, ("last",)),
-    # no confidence is over 1, so a path whose product reaches 0.4 / 0.9 has no weaker edge
-    "strong": (Relation("SELECT * FROM {last} WHERE confidence >= 0.44", ("last",)), ("last",)),
-    "strong_walks": (paths.walks, ("strong",)),
     "stream": (starmap.EVENTS, ("events",)),
     "neighbours": (analytics.neighbours, ("strict",)),
     "vote_overlaps": (votes.overlaps, ("typed",)),
     "vote_prints": (votes.fingerprints, ("strict",)),
     "votes": (votes.all_votes, ("d1_composition", "d2_pathway_support")),
     "scores": (scoring.pair_scores, ("pairs", "votes", "d1_composition", "d8_weighted_similarity", "labels_")),
+    "ranks": (ranks.ranked("score DESC", "source", "target"), ("scores",)),
+    "upward": (ranks.ranked("score", "source", "target"), ("scores",)),
+    "by_name": (ranks.ranked("source", "target"), ("scores",)),
+    "ranked_labels": (ranks.ranked("source", "target", where="label"), ("scores",)),
     "terms": (evidence.terms, ("documents",)),
     "dose": (evidence.dose_response, ("lineitem", "orders", "customer")),
     "gated": (evidence.quality_gate, ("dose",)),
@@ -81,7 +82,7 @@ QUERY_NODES: dict[str, Node] = {
     "c15_transferred": (paths.transferred, ("strict",)),
     "c16_recoverable": (paths.recoverable, ("labels_", "horns")),
     "c17_reachable_share": (paths.reachable_share, ("pairs", "horns")),
-    "c18_gap_fillers": (paths.gap_fillers, ("strong_walks", "labels_")),
+    "c18_gap_fillers": (paths.gap_fillers, ("last", "labels_")),
     "d1_composition": (votes.composition, ("last",)),
     "d2_pathway_support": (votes.pathway_support, ("strict",)),
     "d4_analog": (votes.analog, ("vote_overlaps", "labels_")),
@@ -118,13 +119,13 @@ QUERY_NODES: dict[str, Node] = {
     "f1_auroc": (metrics.auroc, ("scores",)),
     "f2_auprc": (metrics.auprc, ("scores",)),
     "f3_precision_at": (metrics.precision_at, ("scores",)),
-    "f4_mean_reciprocal_rank": (metrics.mean_reciprocal_rank, ("scores",)),
+    "f4_mean_reciprocal_rank": (metrics.mean_reciprocal_rank, ("ranks",)),
     "f6_degree_baseline": (metrics.degree_baseline, ("strict", "pairs")),
     "f6_common_neighbours": (metrics.common_neighbours, ("strict",)),
     "f9_temporal_holdout": (metrics.temporal_holdout, ("scores", "objects")),
     "f10_disease_holdout": (metrics.disease_holdout, ("scores",)),
-    "f13_funnel": (metrics.funnel, ("scores",)),
-    "f14_calibration_bins": (metrics.calibration_bins, ("scores",)),
+    "f13_funnel": (metrics.funnel, ("ranks",)),
+    "f14_calibration_bins": (metrics.calibration_bins, ("upward",)),
     "f15_calibration_error": (metrics.calibration_error, ("scores",)),
     "f19_confusion": (metrics.confusion, ("scores",)),
     "f20_ablation": (metrics.ablation, ("votes",)),
@@ -191,8 +192,8 @@ QUERY_NODES |= {
     "f8_leave_one_out": (more.leave_one_out, ("labels_", "objects")),
     "f11_holdout_candidates": (more.holdout_candidates, ("scores",)),
     "f12_external_labels": (more.external_labels, ("horns", "labels_")),
-    "f18_fold_recall": (more.fold_recall, ("scores",)),
-    "f21_scrambled": (more.scrambled, ("scores",)),
+    "f18_fold_recall": (more.fold_recall, ("ranked_labels",)),
+    "f21_scrambled": (more.scrambled, ("by_name",)),
     "f25_interaction_metrics": (more.interaction_metrics, ("k4_motif_scores",)),
     "f26_curvature_by_type": (more.curvature_by_type, ("i1_node_curvature", "objects")),
     "f27_retrodiction": (more.retrodiction, ("horns",)),
@@ -224,7 +225,7 @@ QUERY_NODES |= {
     "m1_set_overlaps": (more.set_overlaps, ("d1_composition", "d4_analog")),
 }
 NODES = HELPERS | QUERY_NODES
-KEPT = {"objects", "morphisms", "typed", "strict", "last", "terms"}
+KEPT = {"objects", "morphisms", "typed", "strict", "last", "terms", "scores", "ranks"}
 _kept: dict[tuple[str, str, str], str] = {}
 
 
@@ -289,10 +290,59 @@ def kcore_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.kcore(frame(spark, sf_dir, "neighbours"))
 
 
-def cosine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: every vector whose id is divisible by 100, against all vectors."""
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the queries: every vector whose id is divisible by 100."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long"), "embedding")
-    return vectors.cosine_top_k(rows, rows.filter("vec_id % 100 = 0"), 10)
+    return rows, rows.filter("vec_id % 100 = 0")
+
+
+def _node(name: str, at: str) -> F.Column:
+    """The vec_id of a part: vectors are those of the parts with their number."""
+    return F.expr(f"CAST(substring({at}, 2) AS BIGINT)").alias(name)
+
+
+def cosine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.cosine_top_k(*_vectors(spark, sf_dir), 10)
+
+
+def similarity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 for the stated queries: their similarity with every vector."""
+    return vectors.cosine_pairs(*_vectors(spark, sf_dir), None)
+
+
+def analogy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query with the two vectors after it."""
+    rows, asked = _vectors(spark, sf_dir)
+    return vectors.analogies(rows, asked.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), (F.col("vec_id") + 2).alias("c")))
+
+
+def gaps_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links: interactions of the parts that the vectors belong to."""
+    links = frame(spark, sf_dir, "neighbours").select(_node("a", "a"), _node("b", "b"))
+    return vectors.gaps(*_vectors(spark, sf_dir), links)
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "strict").filter("name = 'driver_of'").select(_node("node", "source_name"), F.col("target_name").alias("disease")).distinct()
+
+
+def transfer_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities of the vectors are far under the 0.7 of proteins: the bar is 0.2."""
+    return vectors.transfer_edges(vectors.cosine_pairs(*_vectors(spark, sf_dir), None, 0.2), _known(spark, sf_dir))
+
+
+def similarity_votes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of 0.2 and 0.25, for the same reason."""
+    edges = frame(spark, sf_dir, "neighbours").select(_node("a", "a"), _node("b", "b"), F.lit("interacts_with").alias("name"))
+    return vectors.similarity_votes(vectors.cosine_pairs(*_vectors(spark, sf_dir), None, 0.2), edges, 0.2, 0.25)
+
+
+def family_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of 0.3 and 0.2, for the same reason; asked are the pairs that a chain joins."""
+    targets = frame(spark, sf_dir, "strict").filter("source_type = 'Drug'").select(F.col("source_name").alias("drug"), _node("node", "target_name")).distinct()
+    labels = frame(spark, sf_dir, "labels_").select(F.col("source_name").alias("drug"), F.col("target_name").alias("disease")).distinct()
+    asked = frame(spark, sf_dir, "horns").select(F.col("a").alias("drug"), F.col("c").alias("disease")).distinct()
+    return vectors.family_classes(vectors.cosine_pairs(*_vectors(spark, sf_dir), None, 0.0, own=True), targets, labels, asked, 0.3, 0.2)
 
 
 def objects_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,9 +370,8 @@ def bootstrap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bootstrap_auroc(frame(spark, sf_dir, "scores"))
 
 
-COSINE_SQL = """WITH v AS (SELECT vec_id::BIGINT AS vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
-p AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.e, d.e) / (greatest(q.n, 1e-12) * greatest(d.n, 1e-12)), 6) AS similarity FROM n q JOIN n d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS k FROM p) WHERE k <= 10"""
+def permutation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.permutation_test(frame(spark, sf_dir, "scores"))
 
 
 def pagerank_sql(rounds: int = 20, damping: float = 0.85) -> str:
@@ -336,8 +385,12 @@ FROM v LEFT JOIN (SELECT e.b AS node, sum(r.r * e.w) AS x FROM e JOIN r{i} r ON
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: (lambda spark, sf_dir, name=name: frame(spark, sf_dir, name)) for name in QUERY_NODES
-} | {"i3_pagerank": pagerank_query, "i5_kcore": kcore_query, "j1_cosine_top_k": cosine_query, "a2_objects_csv": objects_csv_query, "a3_morphisms_csv": morphisms_csv_query, "c14_refined": refined_query, "i7_components": components_query, "f5_bootstrap": bootstrap_query}
-ORACLES: dict[str, str] = {name: statement(name) for name in QUERY_NODES} | {"i3_pagerank": pagerank_sql(), "j1_cosine_top_k": COSINE_SQL} | {
+} | {"i3_pagerank": pagerank_query, "i5_kcore": kcore_query, "j1_cosine_top_k": cosine_query, "a2_objects_csv": objects_csv_query, "a3_morphisms_csv": morphisms_csv_query, "c14_refined": refined_query, "i7_components": components_query, "f5_bootstrap": bootstrap_query, "f16_permutation_test": permutation_query} | {
+    "j2_similarities": similarity_query, "j3_analogies": analogy_query, "j4_gaps": gaps_query, "j6_transfer_edges": transfer_query, "d9_similarity_votes": similarity_votes_query, "e20_family_classes": family_query,
+}
+ORACLES: dict[str, str] = {name: statement(name) for name in QUERY_NODES} | {"i3_pagerank": pagerank_sql()} | {
     "a2_objects_csv": statement("objects").replace("SELECT * FROM n_objects", "SELECT name, type_name, sector, cohort FROM n_objects"),
     "a3_morphisms_csv": statement("morphisms").replace("SELECT * FROM n_morphisms", "SELECT name, source_name, target_name, confidence FROM n_morphisms"),
-} | {name: check(name) for name in CHECKS}
+} | {name: check(name) for name in CHECKS} | {
+    name: f"{head(*nodes)}{', ' if nodes else ''}{sql}" for name, (nodes, sql) in VECTOR_CHECKS.items()
+}

@@ -12,11 +12,31 @@ from graphev.operators.evidence import tail
 CHECKS: dict[str, tuple[tuple[str, ...], str]] = {
     "c18_gap_fillers": (
         ("last", "labels_"),
-        """WITH RECURSIVE p AS (SELECT source_name AS source, [source_name, target_name] AS seen, target_name AS node, target_type AS kind, confidence AS w, 1 AS len FROM n_last WHERE source_type = 'Drug'
-UNION ALL SELECT p.source, list_append(p.seen, e.target_name), e.target_name, e.target_type, p.w * e.confidence, p.len + 1 FROM p JOIN n_last e ON e.source_name = p.node
-WHERE p.len < 3 AND p.kind NOT IN ('Drug', 'Disease') AND NOT list_contains(p.seen, e.target_name)),
-best AS (SELECT source, node AS target, max(CASE len WHEN 2 THEN w * 0.9 ELSE w * 0.7 END) AS c FROM p WHERE kind = 'Disease' AND len >= 2 GROUP BY 1, 2)
-SELECT source, target, round(c, 6) AS confidence FROM best ANTI JOIN (SELECT source_name AS source, target_name AS target FROM n_labels_) l USING (source, target) WHERE c >= 0.4""",
+        """WITH RECURSIVE p AS (SELECT source_name AS source, [source_name, target_name] AS seen, name AS relation, target_name AS node, target_type AS kind, confidence AS w, 1 AS len FROM n_last WHERE source_type = 'Drug'
+UNION ALL SELECT p.source, list_append(p.seen, e.target_name), p.relation, e.target_name, e.target_type, p.w * e.confidence, p.len + 1 FROM p JOIN n_last e ON e.source_name = p.node
+WHERE p.len < 4 AND p.kind <> 'Disease' AND NOT list_contains(p.seen, e.target_name) AND p.w * e.confidence >= 0.4),
+best AS (SELECT source, node AS target, relation, max(w * [0.0, 0.9, 0.7, 0.5][len]::DOUBLE) AS c FROM p WHERE kind = 'Disease' AND len >= 2 GROUP BY 1, 2, 3)
+SELECT source, target, relation, round(c, 6) AS confidence FROM best ANTI JOIN (SELECT source_name AS source, target_name AS target FROM n_labels_ UNION SELECT source_name, target_name FROM n_last) l USING (source, target) WHERE c >= 0.4""",
+    ),
+    "i14_reaches": (
+        ("strict",),
+        """WITH RECURSIVE r(node, k) AS (SELECT DISTINCT source_name, 1 FROM n_strict WHERE target_type = 'Disease'
+UNION SELECT v.source_name, r.k + 1 FROM r JOIN n_strict v ON v.target_name = r.node WHERE r.k < 4) SELECT node, min(k)::INTEGER AS steps FROM r GROUP BY node""",
+    ),
+    "i15_synergy": (
+        ("i12_signed_spread",),
+        """WITH s AS (SELECT drug, round(1e-11 + sum(total), 6) AS x FROM n_i12_signed_spread GROUP BY drug), f AS (SELECT drug, x, bar FROM s, (SELECT median(abs(x)) AS bar FROM s) WHERE x <= bar AND abs(x) > 0.0001)
+SELECT a.drug, a.x AS alone, count(b.drug) AS partners FROM f a LEFT JOIN f b ON b.drug <> a.drug AND b.x > round(1e-11 + a.bar + 0.0001 - a.x, 6) GROUP BY a.drug, a.x""",
+    ),
+    "f11_holdout_candidates": (
+        ("scores",),
+        """SELECT count(*) AS candidates, count(*) FILTER (WHERE label) AS positives, count(*) FILTER (WHERE label AND k <= 20) AS top_20
+FROM (SELECT label, row_number() OVER (ORDER BY score DESC, source, target) AS k FROM n_scores WHERE votes > 0)""",
+    ),
+    "f23_spearman": (
+        ("scores",),
+        """WITH r AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS a, rank() OVER (ORDER BY chains) + (count(*) OVER (PARTITION BY chains) - 1) / 2 AS b FROM n_scores)
+SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r""",
     ),
     "d2_pathway_support": (
         ("strict",),
@@ -145,3 +165,47 @@ SELECT x.share, t.n, (SELECT count(*) FROM k WHERE label AND k <= greatest(1, fl
 round(1e-11 + (SELECT count(*) FROM k WHERE label AND k <= greatest(1, floor(t.n * x.share))) / (t.p * x.share), 6) AS enrichment FROM t, (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.5]) AS share) x""",
     ),
 }
+
+#: All pairs of the stated queries with all vectors, by brute force.
+PAIRS = """v AS (SELECT vec_id::BIGINT AS vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS n FROM v),
+p AS MATERIALIZED (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.e, d.e) / (q.n * d.n), 6) AS similarity FROM n q JOIN n d ON q.vec_id % 100 = 0)"""
+APART = "SELECT * FROM p WHERE query_id <> vec_id"
+#: name: nodes it reads, common table expressions and statement
+VECTOR_CHECKS: dict[str, tuple[tuple[str, ...], str]] = {
+    "j1_cosine_top_k": ((), f"{PAIRS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS k FROM ({APART})) WHERE k <= 10"),
+    "j2_similarities": ((), f"{PAIRS} {APART}"),
+    "j3_analogies": (
+        (),
+        """v AS (SELECT vec_id::BIGINT AS vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+t AS (SELECT a.vec_id AS query_id, list_transform(range(1, len(a.e) + 1), lambda i: b.e[i] - a.e[i] + c.e[i]) AS e FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id = a.vec_id + 1 JOIN v c ON c.vec_id = a.vec_id + 2),
+s AS (SELECT t.query_id, v.vec_id, round(list_cosine_similarity(t.e, v.e), 6) AS similarity FROM t, v)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS k FROM s) WHERE k <= 5""",
+    ),
+    "j4_gaps": (
+        ("neighbours",),
+        f"""{PAIRS}, f AS ({APART} AND similarity < 0.3 AND NOT EXISTS (SELECT 1 FROM n_neighbours x WHERE (x.a = 'P' || query_id AND x.b = 'P' || vec_id) OR (x.b = 'P' || query_id AND x.a = 'P' || vec_id)))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity, vec_id) AS k FROM f) WHERE k <= 10""",
+    ),
+    "j6_transfer_edges": (
+        ("strict",),
+        f"""{PAIRS}, known AS (SELECT DISTINCT source_name AS part, target_name AS disease FROM n_strict WHERE name = 'driver_of'),
+c AS (SELECT k.disease, p.vec_id, p.similarity, p.query_id AS reference, row_number() OVER (PARTITION BY k.disease, p.vec_id ORDER BY p.similarity DESC, p.query_id) AS r
+FROM p JOIN known k ON k.part = 'P' || p.query_id WHERE p.query_id <> p.vec_id AND p.similarity >= 0.2 AND NOT EXISTS (SELECT 1 FROM known o WHERE o.part = 'P' || p.vec_id AND o.disease = k.disease))
+SELECT * FROM (SELECT disease, vec_id, similarity, reference, row_number() OVER (PARTITION BY disease ORDER BY similarity DESC, vec_id) AS k FROM c WHERE r = 1) WHERE k <= 10""",
+    ),
+    "d9_similarity_votes": (
+        ("neighbours",),
+        f"""{PAIRS}, e AS (SELECT substr(a, 2)::BIGINT AS a, substr(b, 2)::BIGINT AS b FROM n_neighbours),
+w AS (SELECT query_id AS source, vec_id AS target, 'related_to' AS relation, 'direct' AS kind, least(0.85, similarity) AS confidence FROM ({APART} AND similarity > 0.2)
+UNION ALL SELECT query_id, e.b, 'interacts_with', 'through', round(least(0.85, max(0.9 * similarity)), 6) FROM ({APART} AND similarity > 0.25) s JOIN e ON e.a = s.vec_id AND e.b <> s.query_id GROUP BY query_id, e.b)
+SELECT source, target, relation, kind, confidence::DOUBLE AS confidence FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.a = w.source AND e.b = w.target)""",
+    ),
+    "e20_family_classes": (
+        ("strict", "labels_", "horns"),
+        f"""{PAIRS}, t AS (SELECT DISTINCT source_name AS drug, target_name AS part FROM n_strict WHERE source_type = 'Drug'), l AS (SELECT DISTINCT source_name AS drug, target_name AS disease FROM n_labels_),
+pos AS (SELECT 'P' || query_id AS x, 'P' || vec_id AS y, similarity FROM p WHERE similarity > 0),
+m AS (SELECT d.drug, l.disease, max(pos.similarity) AS s FROM t d JOIN pos ON pos.x = d.part JOIN t r ON r.part = pos.y JOIN l ON l.drug = r.drug AND l.drug <> d.drug GROUP BY 1, 2)
+SELECT h.drug, h.disease, CASE WHEN NOT EXISTS (SELECT 1 FROM l WHERE l.disease = h.disease AND l.drug <> h.drug) THEN 'No Reference' WHEN coalesce(s, 0) >= 0.3 THEN 'Family Extrapolation' WHEN coalesce(s, 0) >= 0.2 THEN 'Cross-Family Related' ELSE 'Cross-Family Novel' END AS class,
+coalesce(s, 0)::DOUBLE AS similarity FROM (SELECT DISTINCT a AS drug, c AS disease FROM n_horns) h LEFT JOIN m ON m.drug = h.drug AND m.disease = h.disease""",
+    ),
+}
