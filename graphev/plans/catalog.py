@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphev.functions.shared import new_dir
-from graphev.operators import analytics, components, evidence, metrics, more, paths, ranks, resample, scoring, vectors, views, votes
+from graphev.operators import analytics, belief, components, evidence, metrics, more, paths, ranks, records, resample, scoring, vectors, views, votes
 from graphev.operators.relation import Relation
 from graphev.plans.checks import CHECKS, VECTOR_CHECKS
-from graphev.sources import loaders, starmap
+from graphev.sources import loaders, starmap, works
 from graphev.streaming import forecast
 
 Node = tuple[Relation, tuple[str, ...]]
@@ -44,6 +44,9 @@ HELPERS: dict[str, Node] = {
     "upward": (ranks.ranked("score", "source", "target"), ("scores",)),
     "by_name": (ranks.ranked("source", "target"), ("scores",)),
     "ranked_labels": (ranks.ranked("source", "target", where="label"), ("scores",)),
+    "receipts": (records.receipts, ("orders",)),
+    "code_sheet": (records.code_sheet, ("e17_packet",)),
+    "answer_sheet": (records.answer_sheet, ("morphisms",)),
     "terms": (evidence.terms, ("documents",)),
     "dose": (evidence.dose_response, ("lineitem", "orders", "customer")),
     "gated": (evidence.quality_gate, ("dose",)),
@@ -174,6 +177,10 @@ QUERY_NODES: dict[str, Node] = {
     "l12_coherence_summary": (forecast.coherence_summary, ("l8_overlap_gaps", "l9_causality", "l10_colocation")),
 }
 QUERY_NODES |= {
+    "a24_receipts": (records.upsert_receipts, ("receipts",)),
+    "b11_legacy_objects": (records.legacy_objects, G),
+    "b16_equivalents": (records.equivalents, ("neighbours", "part")),
+    "e18_packet_report": (records.packet_report, ("code_sheet", "answer_sheet")),
     "c4_walks": (more.walks_any, ("last",)),
     "d3_binding": (more.binding, ("lineitem", "part")),
     "d14_parallel_paths": (more.parallel_paths, ("last",)),
@@ -278,7 +285,7 @@ def statement(name: str) -> str:
 def check(name: str) -> str:
     """A statement of the checks, over the nodes that it reads."""
     nodes, sql = CHECKS[name]
-    return f"{head(*nodes)} SELECT * FROM ({sql}) own"
+    return f"{head(*nodes) if nodes else ''} SELECT * FROM ({sql}) own"
 
 
 def pagerank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,6 +381,66 @@ def permutation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.permutation_test(frame(spark, sf_dir, "scores"))
 
 
+def _records(spark: SparkSession, name: str, lines: DataFrame) -> str:
+    folder = new_dir(spark, name)
+    lines.write.text(folder)
+    return folder
+
+
+def works_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as bibliographic records and read back, those from 2000 on."""
+    docs = frame(spark, sf_dir, "documents")
+    rows = works.load_works(spark, _records(spark, "works", works.work_records(docs)), year_min=2000)
+    joined = [F.array_join(c, "|").alias(c) for c in ("authors", "concepts", "citations")]
+    return rows.select("id", "title", "year", F.sha2(F.coalesce("abstract", F.lit("")), 256).alias("abstract_sha256"), *joined)
+
+
+def concepts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = works.load_concepts(spark, _records(spark, "concepts", works.concept_records(frame(spark, sf_dir, "documents"))))
+    return rows.select("id", "name", "level", F.array_join("parent_ids", "|").alias("parents"), F.array_join("related_ids", "|").alias("related"))
+
+
+def work_edges_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frame(spark, sf_dir, "documents")
+    known = works.load_works(spark, _records(spark, "works", works.work_records(docs.withColumn("text", F.lit(None).cast("string")))))
+    return works.work_edges(known, works.load_concepts(spark, _records(spark, "concepts", works.concept_records(docs))))
+
+
+def signed_edges_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict view written as a signed network and read back."""
+    folder, said = new_dir(spark, "signed"), lambda c: F.when(c, "True").otherwise("False")
+    edges, name = frame(spark, sf_dir, "strict"), F.col("name")
+    edges.select(
+        F.concat(F.lit("id"), "source_name").alias("source"), F.col("target_name").alias("target"), F.col("source_name").alias("source_genesymbol"), F.lit(None).cast("string").alias("target_genesymbol"),
+        said(name != "interacts_with").alias("is_directed"), said(name.isin("activates", "driver_of", "modulates")).alias("is_stimulation"), said(name.isin("inhibits", "modulates")).alias("is_inhibition"),
+    ).write.option("header", True).option("sep", "\t").csv(folder)
+    return works.load_signed_edges(spark, folder)
+
+
+def articles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as articles, a section per line, and their abstracts."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit('<AbstractText Label="X"><i>'), F.translate(x, "<>", ""), F.lit("</i></AbstractText>")))
+    xml = F.concat(F.lit("<Article><ArticleTitle>T</ArticleTitle><Abstract>"), F.array_join(lines, "\n"), F.lit("</Abstract></Article>"))
+    return frame(spark, sf_dir, "documents").select("doc_id", F.sha2(records.article_text(xml), 256).alias("abstract_sha256"))
+
+
+def combined_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two answers, bit 1 for and bit 2 against a pair: its votes, and the share of its chains without a direction."""
+    votes_ = frame(spark, sf_dir, "votes").select("source", "target", F.col("strategy").alias("voter"), "confidence", F.when(F.col("strategy") == "composition", 0.9).otherwise(0.6).alias("reliability"))
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("subset"), F.col("confidence").alias("mass")), F.struct(F.lit(3).alias("subset"), (1 - F.col("confidence")).alias("mass"))))
+    for_ = votes_.select("source", "target", "voter", sides.alias("m"), "reliability")
+    doubt = frame(spark, sf_dir, "horns").groupBy(F.col("a").alias("source"), F.col("c").alias("target")).agg((0.5 * F.avg(F.when(F.col("f_name") == "modulates", 1.0).otherwise(0.0))).alias("x"))
+    against = doubt.select("source", "target", F.lit("chains").alias("voter"), F.explode(F.array(F.struct(F.lit(2).alias("subset"), F.col("x").alias("mass")), F.struct(F.lit(3).alias("subset"), (1 - F.col("x")).alias("mass")))).alias("m"), F.lit(0.8).alias("reliability"))
+    rows = for_.unionByName(against).select(F.concat_ws(">", "source", "target").alias("pair"), F.col("voter").alias("source"), "m.subset", "m.mass", "reliability")
+    return belief.combined(rows, ["pair"], 2).select("pair", "subset", F.round("mass", 6).alias("mass"), F.round("conflict", 6).alias("conflict"))
+
+
+def drift_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interactions, and those of at least 0.8."""
+    edges = frame(spark, sf_dir, "strict").filter("name = 'interacts_with' and source_name <> target_name").select(F.col("source_name").alias("a"), F.col("target_name").alias("b"), "confidence")
+    return records.drift(edges, edges.filter("confidence >= 0.8"))
+
+
 def pagerank_sql(rounds: int = 20, damping: float = 0.85) -> str:
     parts = ["e AS MATERIALIZED (SELECT a, b, 1.0::DOUBLE / count(*) OVER (PARTITION BY a) AS w FROM n_neighbours)", "v AS MATERIALIZED (SELECT DISTINCT a AS node FROM e UNION SELECT b FROM e)",
              "r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r FROM v)"]
@@ -387,6 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: (lambda spark, sf_dir, name=name: frame(spark, sf_dir, name)) for name in QUERY_NODES
 } | {"i3_pagerank": pagerank_query, "i5_kcore": kcore_query, "j1_cosine_top_k": cosine_query, "a2_objects_csv": objects_csv_query, "a3_morphisms_csv": morphisms_csv_query, "c14_refined": refined_query, "i7_components": components_query, "f5_bootstrap": bootstrap_query, "f16_permutation_test": permutation_query} | {
     "j2_similarities": similarity_query, "j3_analogies": analogy_query, "j4_gaps": gaps_query, "j6_transfer_edges": transfer_query, "d9_similarity_votes": similarity_votes_query, "e20_family_classes": family_query,
+    "a5_works": works_query, "a7_concepts": concepts_query, "a8_work_edges": work_edges_query, "a20_signed_edges": signed_edges_query, "a22_articles": articles_query, "d17b_combined": combined_query, "i10_drift": drift_query,
 }
 ORACLES: dict[str, str] = {name: statement(name) for name in QUERY_NODES} | {"i3_pagerank": pagerank_sql()} | {
     "a2_objects_csv": statement("objects").replace("SELECT * FROM n_objects", "SELECT name, type_name, sector, cohort FROM n_objects"),

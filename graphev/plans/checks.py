@@ -27,6 +27,52 @@ UNION SELECT v.source_name, r.k + 1 FROM r JOIN n_strict v ON v.target_name = r.
         ("i12_signed_spread",),
         """WITH s AS (SELECT drug, round(1e-11 + sum(total), 6) AS x FROM n_i12_signed_spread GROUP BY drug), f AS (SELECT drug, x, bar FROM s, (SELECT median(abs(x)) AS bar FROM s) WHERE x <= bar AND abs(x) > 0.0001)
 SELECT a.drug, a.x AS alone, count(b.drug) AS partners FROM f a LEFT JOIN f b ON b.drug <> a.drug AND b.x > round(1e-11 + a.bar + 0.0001 - a.x, 6) GROUP BY a.drug, a.x""",
+    ),
+    "a24_receipts": (
+        ("receipts",),
+        """SELECT receipt, count(*) AS versions, coalesce(list_last(list(title ORDER BY seq) FILTER (WHERE title <> '')), '') AS title, coalesce(list_last(list(url ORDER BY seq) FILTER (WHERE url <> '')), '') AS url,
+list_last(list(resolves ORDER BY seq) FILTER (WHERE resolves IS NOT NULL)) AS resolves FROM n_receipts GROUP BY receipt""",
+    ),
+    "b11_legacy_objects": (
+        ("objects", "morphisms"),
+        """WITH k AS (SELECT name, type_name FROM n_objects QUALIFY row_number() OVER (ORDER BY birth, name) <= 100)
+SELECT name, type_name, true AS listed FROM k UNION ALL SELECT DISTINCT name, 'Object', false FROM (SELECT unnest([source_name, target_name]) AS name FROM n_morphisms) WHERE name NOT IN (SELECT name FROM k)""",
+    ),
+    "b16_equivalents": (
+        ("neighbours",),
+        """WITH c AS (SELECT p_brand || '/' || p_type AS class, list('P' || p_partkey) AS members FROM part GROUP BY 1) SELECT n.a, n.b, c.class FROM n_neighbours n, c WHERE list_contains(c.members, n.a) AND list_contains(c.members, n.b)""",
+    ),
+    "a5_works": (
+        (),
+        """SELECT 'W' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'Title ' || doc_id WHEN doc_id % 4 = 1 THEN 'Name ' || doc_id ELSE 'W' || doc_id END AS title, CASE WHEN doc_id % 7 > 0 THEN (1990 + doc_id % 40)::INTEGER END AS year,
+sha256(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), ' ')) AS abstract_sha256, source AS authors, lang || ' ' || source AS concepts,
+CASE WHEN doc_id % 3 > 0 THEN 'W' || doc_id * 2 || '|W' || (doc_id + 1) ELSE '' END AS citations FROM documents WHERE doc_id % 7 = 0 OR doc_id % 40 >= 10""",
+    ),
+    "a7_concepts": (
+        (),
+        """SELECT DISTINCT lang AS id, lang AS name, 0 AS level, '' AS parents, 'nowhere' AS related FROM documents UNION ALL SELECT DISTINCT lang || '_' || source, lang || ' ' || source, 1, lang, 'en_' || source FROM documents""",
+    ),
+    "a8_work_edges": (
+        (),
+        """WITH d AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 7 > 0 THEN (1990 + doc_id % 40)::INTEGER END AS year FROM documents)
+SELECT 'cites' AS name, 'W' || d.doc_id AS source_name, 'W' || t.doc_id AS target_name, d.year FROM d JOIN d t ON (t.doc_id = d.doc_id * 2 OR t.doc_id = d.doc_id + 1) WHERE d.doc_id % 3 > 0 AND d.doc_id <> 1
+UNION ALL SELECT 'cites', 'W1', 'W' || t.doc_id, d.year FROM d, d t, range(2) WHERE d.doc_id = 1 AND t.doc_id = 2
+UNION ALL SELECT 'about', 'W' || doc_id, lower(lang || '_' || source), NULL FROM d WHERE doc_id % 3 = 0
+UNION ALL SELECT DISTINCT 'subfield_of', lang || '_' || source, lang, NULL FROM d
+UNION ALL SELECT DISTINCT 'related_to', lang || '_' || source, 'en_' || source, NULL FROM d WHERE source IN (SELECT source FROM d WHERE lang = 'en')""",
+    ),
+    "a20_signed_edges": (
+        ("strict",),
+        """SELECT source_name AS source, target_name AS target, CASE name WHEN 'inhibits' THEN -1 ELSE 1 END AS sign FROM n_strict WHERE name IN ('activates', 'inhibits', 'driver_of')""",
+    ),
+    "a22_articles": ((), """SELECT doc_id, sha256(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(replace(replace(x, '<', ''), '>', ''))), ' ')) AS abstract_sha256 FROM documents"""),
+    "d17b_combined": (
+        ("votes", "horns"),
+        """WITH s AS (SELECT source || '>' || target AS pair, confidence * CASE strategy WHEN 'composition' THEN 0.9 ELSE 0.6 END AS yes, 0.0 AS no FROM n_votes
+UNION ALL SELECT a || '>' || c, 0.0, 0.8 * 0.5 * avg(CASE f_name WHEN 'modulates' THEN 1.0 ELSE 0.0 END) FROM n_horns GROUP BY a, c),
+j AS (SELECT pair, 1 - product(1 - yes) AS yes, 1 - product(1 - no) AS no FROM s GROUP BY pair),
+m AS (SELECT pair, yes * no AS k, unnest([1, 2, 3]) AS subset, unnest([yes * (1 - no), no * (1 - yes), (1 - yes) * (1 - no)]) AS x FROM j)
+SELECT pair, subset, round(x / (1 - k), 6) AS mass, round(k, 6) AS conflict FROM m WHERE x > 1e-12""",
     ),
     "f11_holdout_candidates": (
         ("scores",),

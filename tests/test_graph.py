@@ -4,11 +4,13 @@ import math
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from graphev.operators import analytics, evidence, metrics, more, paths, vectors, views, votes
+from graphev.operators import analytics, belief, evidence, metrics, more, paths, ranks, records, vectors, views, votes
 from graphev.plans import catalog
+from graphev.sources import works
 from graphev.streaming import forecast
 
 SMALL = "/root/testdata/sf0.001"
@@ -147,7 +149,7 @@ def test_late_rows_are_dropped_past_the_watermark(spark, tmp_path):
 
 
 def rows_of(frame):
-    text = lambda v: "" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(int(v)) if isinstance(v, bool) else str(v)
+    text = lambda v: "" if pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(int(v)) if isinstance(v, bool) else str(v)
     return sorted(tuple(text(v) for v in row) for row in frame[sorted(frame.columns)].astype(object).values.tolist())
 
 
@@ -205,3 +207,82 @@ def test_cosine_ties_take_the_smallest_ids(spark):
     asked = spark.createDataFrame([(1000, [1.0, 2.0])], "vec_id long, embedding array<double>")
     got = [r.vec_id for r in vectors.cosine_top_k(rows, asked, 10).orderBy("k").collect()]
     assert got == [i for i in range(1, 400) if i % 4][:10]
+
+
+def test_vectors_that_are_null_or_ragged_meet_nothing(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.similarity for r in vectors.cosine_pairs(table, table.filter("vec_id in (0, 2)"), None).collect()}
+    assert got == {(0, 1): 0.707107, (0, 5): 0.0}
+    assert vectors.cosine_top_k(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_votes_and_transfers_by_likeness(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.65), (1, 4, 0.75)], "query_id long, vec_id long, similarity double")
+    edges = spark.createDataFrame([(2, 9, "binds"), (4, 9, "binds"), (4, 1, "binds"), (1, 3, "binds")], "a long, b long, name string")
+    got = {(r.target, r.kind): round(r.confidence, 6) for r in vectors.similarity_votes(pairs, edges).collect()}
+    assert got == {(2, "direct"): 0.85, (4, "direct"): 0.75, (9, "through"): 0.81}
+    known = spark.createDataFrame([(1, "D"), (4, "D")], "node long, disease string")
+    assert [(r.vec_id, r.similarity, r.reference, r.k) for r in vectors.transfer_edges(pairs, known).orderBy("k").collect()] == [(2, 0.9, 1, 1), (3, 0.65, 1, 2)]
+
+
+def test_row_numbers_follow_the_order(spark):
+    rows = [(i * 37 % 101, "x") for i in range(101)]
+    frame = spark.createDataFrame(rows, "v int, w string").repartition(5)
+    assert all(r.k == r.v + 1 for r in ranks.row_numbers(frame, [F.asc("v")]).collect())
+    assert ranks.row_numbers(frame.limit(0), [F.asc("v")]).count() == 0
+
+
+def test_shuffled_labels(spark):
+    kind = "score double, label boolean"
+    good = ranks.permutation_test(spark.createDataFrame([(i / 40, i >= 20) for i in range(40)], kind), 200).first()
+    assert good.observed == 1 and good.p == 0 and good.mean_shuffled == pytest.approx(0.5, abs=0.03)
+    flat = ranks.permutation_test(spark.createDataFrame([(0.5, i % 2 == 0) for i in range(10)], kind), 50).first()
+    assert (flat.observed, flat.p) == (0.5, 1)
+    assert ranks.permutation_test(spark.createDataFrame([], kind), 20).first().observed == 0.5
+
+
+def test_combined_masses_equal_the_pairwise_sum(spark):
+    """The rule by its definition: products of all subsets, empty intersections set aside."""
+    sources = [({1: 0.6, 7: 0.4}, 0.9), ({2: 0.3, 3: 0.5, 7: 0.2}, 0.7), ({4: 0.2, 6: 0.8}, 1.0)]
+    rows = [("k", str(i), s, m, w) for i, (ms, w) in enumerate(sources) for s, m in ms.items()] + [("clash", "a", 1, 1.0, 1.0), ("clash", "b", 2, 1.0, 1.0)]
+    got = belief.combined(spark.createDataFrame(rows, "k string, source string, subset int, mass double, reliability double"), ["k"], 3).collect()
+    now = {7: 1.0}
+    for ms, w in sources:
+        told = {s: m * w for s, m in ms.items()}
+        told[7] = told.get(7, 0) + 1 - w
+        after = {}
+        for a, x in now.items():
+            for b, y in told.items():
+                after[a & b] = after.get(a & b, 0) + x * y
+        now = after
+    lost = now.pop(0, 0.0)
+    assert {r.subset: r.mass for r in got if r.k == "k"} == pytest.approx({s: m / (1 - lost) for s, m in now.items() if m > 1e-12})
+    assert [(r.subset, r.mass, r.conflict) for r in got if r.k == "clash"] == [(None, None, 1.0)]
+
+
+def test_paths_of_four_edges_fill_a_gap(spark):
+    rows = [("A", "binds", "P", 0.95, "Drug", "Kinase"), ("P", "r", "Q", 0.95, "Kinase", "Kinase"), ("Q", "r", "R", 0.95, "Kinase", "Kinase"), ("R", "driver_of", "D", 0.95, "Kinase", "Disease"), ("P", "r", "A", 0.9, "Kinase", "Drug")]
+    none = spark.createDataFrame([], "source_name string, target_name string")
+    assert [tuple(r) for r in paths.gap_fillers(edges(spark, rows), none).collect()] == [("A", "D", "binds", round(0.95**4 * 0.5, 6))]
+
+
+def test_records_and_signed_networks(spark, tmp_path):
+    (tmp_path / "w.jsonl").write_text(
+        '{"id": "https://openalex.org/W1", "title": "", "display_name": null, "publication_year": null, "abstract_inverted_index": {"b": [1, 3], "a": [0, 2]}, "referenced_works": ["https://openalex.org/W2", "W9"]}\n'
+        'no json\n{"id": "W2", "title": "T", "publication_year": 1980}\n{"id": "W3", "title": "T", "publication_year": 2001, "concepts": [{"display_name": "Big Idea"}, {"display_name": null}]}\n'
+    )
+    got = {r.id: r for r in works.load_works(spark, str(tmp_path / "w.jsonl"), 1990).collect()}
+    assert set(got) == {"W1", "W3"} and (got["W1"].title, got["W1"].abstract, got["W1"].citations) == ("W1", "a b a b", ["W2", "W9"])
+    ideas = spark.createDataFrame([("big_idea", ["top"], ["W1"])], "id string, parent_ids array<string>, related_ids array<string>")
+    found = works.work_edges(works.load_works(spark, str(tmp_path / "w.jsonl")), ideas).collect()
+    assert {tuple(r)[:3] for r in found} == {("cites", "W1", "W2"), ("about", "W3", "big_idea"), ("related_to", "big_idea", "W1")}
+    lines = ["a\tb\ts\tt\td\tp\tm", "1\t2\tA\tB\tTrue\tTrue\tFalse", "1\t2\t\tC\tTrue\tFalse\tTrue", "1\t2\tA\tD\tTrue\tTrue\tTrue", "1\t2\tA\tE\tFalse\tTrue\tFalse", "1\t2\tA"]
+    (tmp_path / "n.tsv").write_text("\n".join(lines))
+    assert {tuple(r) for r in works.load_signed_edges(spark, str(tmp_path / "n.tsv")).collect()} == {("A", "B", 1), ("1", "C", -1)}
+
+
+def test_drift(spark):
+    pairs = lambda *p: spark.createDataFrame(p, "a int, b int")
+    got = records.drift(pairs((1, 2), (2, 3), (3, 4)), pairs((1, 2), (3, 4))).first()
+    assert (got.groups_before, got.groups_after, got.anomaly, got.severity) == (1, 2, "fragmentation", "low")
