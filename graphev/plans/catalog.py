@@ -44,6 +44,7 @@ HELPERS: dict[str, Node] = {
     "upward": (ranks.ranked("score", "source", "target"), ("scores",)),
     "by_name": (ranks.ranked("source", "target"), ("scores",)),
     "ranked_labels": (ranks.ranked("source", "target", where="label"), ("scores",)),
+    "drug_effects": (more.drug_effects, ("i12_signed_spread",)),
     "receipts": (records.receipts, ("orders",)),
     "code_sheet": (records.code_sheet, ("e17_packet",)),
     "answer_sheet": (records.answer_sheet, ("morphisms",)),
@@ -223,7 +224,7 @@ QUERY_NODES |= {
     "h2_strata": (more.strata, ("dose",)),
     "i8_four_cliques": (more.four_cliques, ("i8_triangles", "neighbours")),
     "i9_rips_edges": (more.rips_edges, ("cells",)),
-    "i15_synergy": (more.synergy, ("i12_signed_spread",)),
+    "i15_synergy": (more.synergy, ("drug_effects",)),
     "k1_marker_types": (more.marker_types, ("cells",)),
     "k3_intracellular": (more.intracellular, ("cells",)),
     "k5_decoys": (more.decoys, ("k4_motif_scores",)),
@@ -232,7 +233,7 @@ QUERY_NODES |= {
     "m1_set_overlaps": (more.set_overlaps, ("d1_composition", "d4_analog")),
 }
 NODES = HELPERS | QUERY_NODES
-KEPT = {"objects", "morphisms", "typed", "strict", "last", "terms", "scores", "ranks"}
+KEPT = {"objects", "morphisms", "typed", "strict", "last", "terms", "scores", "ranks", "drug_effects"}
 _kept: dict[tuple[str, str, str], str] = {}
 
 
