@@ -265,7 +265,8 @@ def alike(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     asked = saved(links.select(F.explode(F.array("a", "b")).alias("class")).distinct())
     bits = min(BLOOM_MOST, max(1 << 16, 1 << (16 * asked.count()).bit_length()))
     marks = bloom(asked.select(F.col("class.c0").alias("s")), bits)
-    sets = texts.filter(maybe_in(marks, F.col("class.c0"), bits)).join(asked.hint("merge"), "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
+    # copies of a text are combined where they are, before they move
+    sets = texts.filter(maybe_in(marks, F.col("class.c0"), bits)).groupBy("class").agg(F.first("text").alias("text")).join(asked.hint("merge"), "class", "left_semi")
     sets = saved(sets.select("class", word_shingles(F.col("text")).alias("s")))
     pairs = links.hint("merge").join(sets.withColumnsRenamed({"class": "a", "s": "sa"}).hint("merge"), "a")
     pairs = pairs.join(sets.withColumnsRenamed({"class": "b", "s": "sb"}).hint("merge"), "b")
@@ -327,14 +328,26 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id (null
-    last). Groups are the components of near_groups; equal texts are one group."""
-    light = saved(docs.select("doc_id", text_class(F.col("text")).alias("class")))
-    roots = saved(near_groups(docs, similarity))
-    named = light.join(roots.hint("merge"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "class")
-    keep = saved(named.groupBy("root").agg(F.min(order).alias("k"), F.count("*").alias("size")).select("k.doc_id", "k.class"))
-    out = docs.withColumn("_class", text_class(F.col("text"))).alias("d")
-    out = out.join(keep.hint("merge").alias("k"), F.expr("d.doc_id <=> k.doc_id and d._class = k.class"), "left_semi")
-    # rows that repeat both doc_id and text are one document
-    repeated = not light.groupBy("doc_id", "class").count().filter("count > 1").limit(1).isEmpty()
-    return (out.dropDuplicates(["doc_id", "_class"]) if repeated else out).drop("_class")
+    last). Groups are the components of near_groups; equal texts are one group. Rows that repeat
+    both doc_id and text are one document. Columns may have any names.
+
+    Most rows stay and are not moved: a Bloom filter tells those that may have to go or that are
+    repeated, and only these meet the exact list."""
+    key = F.struct("doc_id", "class")
+    light = docs.select("doc_id", text_class(F.col("text")).alias("class"))
+    light = saved(light.groupBy("doc_id", "class").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "class")).alias("k")
+    texts = light.groupBy("class").agg(first).join(near_groups(docs, similarity).hint("merge"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    texts = saved(texts)
+    chosen = texts.select("class", "root").join(texts.groupBy("root").agg(F.min("k").alias("k")).hint("merge"), "root").select("class", F.struct("k.doc_id", "k.class").alias("k"))
+    asked = light.hint("merge").join(chosen.hint("merge"), "class").withColumn("goes", ~key.eqNullSafe(F.col("k")))
+    asked = saved(asked.filter("goes or n > 1").select("doc_id", "class", "goes"))
+    bits = min(BLOOM_MOST, max(1 << 16, 1 << (16 * asked.count()).bit_length()))
+    hashed = lambda c: F.xxhash64("doc_id", f"{c}.c0", f"{c}.c1")
+    marks = bloom(asked.select(hashed("class").alias("s")), bits)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_class(F.col("text")).alias("class"))
+    stays = rows.filter(~maybe_in(marks, hashed("class"), bits)).select("row.*")
+    moved = rows.filter(maybe_in(marks, hashed("class"), bits)).alias("d")
+    gone = asked.filter("goes").hint("merge").alias("g")
+    moved = moved.join(gone, F.expr("d.class = g.class and d.doc_id <=> g.doc_id"), "left_anti")
+    return stays.unionByName(moved.dropDuplicates(["doc_id", "class"]).select("row.*"))
