@@ -184,7 +184,7 @@ def most_apart(n: Column, m: Column, similarity: float) -> Column:
 
 
 def of_texts(texts: DataFrame, make, kind: str) -> DataFrame:
-    """texts: class, text -> class and what make gives for the text; a task gives a text's rows once
+    """texts: class, text -> c0, half of the class, and what make gives for the text; a task gives a text's rows once
     unless it meets more than SEEN_MOST others in between."""
 
     def run(batches):
@@ -202,13 +202,12 @@ def of_texts(texts: DataFrame, make, kind: str) -> DataFrame:
             if not made:
                 continue
             at = np.repeat(np.array(new), [len(m[0]) for m in made])
-            columns = [pa.StructArray.from_arrays([pa.array(c0[at]), pa.array(c1[at])], names=["c0", "c1"])]
-            columns += [pa.array(np.concatenate(c)) for c in zip(*made)]
+            columns = [pa.array(c0[at]), *[pa.array(np.concatenate(c)) for c in zip(*made)]]
             for start in range(0, len(at), SHINGLES_AT_ONCE):
                 part = [c.slice(start, SHINGLES_AT_ONCE) for c in columns]
-                yield pa.RecordBatch.from_arrays(part, names=["class", *[c.split()[0] for c in kind.split(", ")]])
+                yield pa.RecordBatch.from_arrays(part, names=["c0", *[c.split()[0] for c in kind.split(", ")]])
 
-    return texts.select("class", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"{CLASS}, {kind}")
+    return texts.select("class", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"c0 bigint, {kind}")
 
 
 def common_shingles(texts: DataFrame, n: int) -> np.ndarray:
@@ -220,7 +219,7 @@ def common_shingles(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
-    """(class, s, i, n): of a text's n shingles the first ones, in an order that is the same for all
+    """(c0, s, i): of a text's n shingles the first ones, in an order that is the same for all
     texts, with their places i. Common shingles come last, others go by their hash. Sets of n and m
     shingles with a Jaccard of at least ``similarity`` have similarity * max(n, m) in common, so that
     one of these is among the first n - similarity * n + 1 of both."""
@@ -231,31 +230,33 @@ def prefixes(texts: DataFrame, common: np.ndarray, similarity: float) -> DataFra
             s = np.concatenate([s[~last], s[last]])
         n = len(s)
         k = n - int(np.ceil(similarity * n - 1e-6)) + 1
-        return [s[:k], np.arange(k, dtype=np.int32), np.full(k, n, np.int32)]
+        return [s[:k], np.arange(k, dtype=np.int32)]
 
-    return of_texts(texts, make, "s long, i int, n int")
+    return of_texts(texts, make, "s long, i int")
 
 
 def rest_pairs(shared: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of texts in different groups that share a shingle of shared (class, s, i, n)
-    and that sizes, places and sketches do not rule out. facts: class, root, n, sketch, and the
-    sketch's smallest form, p and q, which rules most of them out before pairs are moved.
+    """All pairs (a, b) of texts in different groups that share a shingle of shared (c0, s, i) and
+    that sizes, places and sketches do not rule out. facts: class, root, n, sketch, and the sketch's
+    smallest form, p and q, which rules most of them out before pairs are moved. On the way texts
+    and groups go by 64-bit hashes: texts with equal ones are both found again at the end.
 
     Sizes are part of the join key, in steps of 1 / similarity: similar texts are at most one step
     apart, and texts with a frequent shingle are dealt by their size."""
     of = W.partitionBy("s")
-    named = shared.join(facts.drop("n", "sketch").hint("merge"), "class").withColumns({"x": F.min("root").over(of), "y": F.max("root").over(of)}).filter("x <> y").drop("x", "y")
+    light = facts.select("class.c0", F.xxhash64("root").alias("root"), "n", "p", "q")
+    named = shared.join(light.hint("merge"), "c0").withColumns({"x": F.min("root").over(of), "y": F.max("root").over(of)}).filter("x <> y").drop("x", "y")
     named = saved(named.withColumn("step", F.floor(F.log("n") / F.lit(float(-np.log(similarity))) + 1e-9)))
-    x, y = (named.select("s", *[F.col(c).alias(c + e) for c in ("class", "root", "i", "n", "p", "q", "step")]) for e in "xy")
+    x, y = (named.select("s", *[F.col(c).alias(c + e) for c in ("c0", "root", "i", "n", "p", "q", "step")]) for e in "xy")
     x = x.withColumn("stepy", F.explode(F.array("stepx", F.col("stepx") + 1)))
-    found = x.join(y, ["s", "stepy"]).filter("rootx <> rooty and (stepx < stepy or classx < classy)")
+    found = x.join(y, ["s", "stepy"]).filter("rootx <> rooty and (stepx < stepy or c0x < c0y)")
     most = F.least("ix", "iy") + 1 + F.least(F.expr("nx - ix - 1"), F.expr("ny - iy - 1"))
     found = found.filter(most >= similarity * (F.col("nx") + F.col("ny") - most) - 1e-6)
     found = found.filter(F.expr("bit_count(px ^ py) + bit_count(qx ^ qy)") <= most_apart(F.col("nx"), F.col("ny"), similarity))
-    found = found.select(F.least("classx", "classy").alias("a"), F.greatest("classx", "classy").alias("b")).distinct()
-    ends = facts.select("class", F.struct("n", "sketch").alias("f"))
+    found = found.select(F.least("c0x", "c0y").alias("a0"), F.greatest("c0x", "c0y").alias("b0")).distinct()
     for c in "ab":
-        found = found.join(ends.withColumnsRenamed({"class": c, "f": f"f{c}"}).hint("merge"), c)
+        ends = facts.select(F.col("class.c0").alias(f"{c}0"), F.col("class").alias(c), F.struct("n", "sketch").alias(f"f{c}"))
+        found = found.join(ends.hint("merge"), f"{c}0")
     return saved(found.filter(may_be_alike(F.col("fa.sketch"), F.col("fb.sketch"), F.col("fa.n"), F.col("fb.n"), similarity)).select("a", "b"))
 
 
@@ -321,7 +322,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # shingles that only copies of one text hold link nothing
     of = W.partitionBy("s")
     firsts = prefixes(texts, common_shingles(texts, prints.count()), similarity).repartition("s")
-    shared = firsts.withColumns({"x": F.min("class").over(of), "y": F.max("class").over(of)}).filter("x <> y").drop("x", "y").distinct()
+    shared = firsts.withColumns({"x": F.min("c0").over(of), "y": F.max("c0").over(of)}).filter("x <> y").drop("x", "y").distinct()
     rest = alike(rest_pairs(shared, facts, similarity), texts, similarity)
     return components(first.unionByName(rest)).withColumnRenamed("node", "class")
 
