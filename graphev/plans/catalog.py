@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphev.functions import registry
 from graphev.functions.shared import new_dir
-from graphev.operators import analytics, belief, components, evidence, metrics, more, paths, ranks, records, resample, scoring, vectors, views, votes
+from graphev.operators import analytics, belief, components, evidence, metrics, more, paths, ranks, records, resample, scoring, strong, vectors, views, votes
 from graphev.operators.relation import Relation
 from graphev.plans.checks import CHECKS, VECTOR_CHECKS
 from graphev.sources import loaders, starmap, works
@@ -442,6 +443,19 @@ def drift_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.drift(edges, edges.filter("confidence >= 0.8"))
 
 
+def strong_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strong.strong_groups(frame(spark, sf_dir, "strict").select(F.col("source_name").alias("a"), F.col("target_name").alias("b")))
+
+
+def path_weights_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All two-edge paths from drugs to diseases under every registered semiring."""
+    f, g = (frame(spark, sf_dir, "last").alias(x) for x in "fg")
+    paths_ = f.filter("source_type = 'Drug'").join(g.filter("target_type = 'Disease'"), F.expr("f.target_name = g.source_name"))
+    paths_ = paths_.select(F.col("f.source_name").alias("source"), F.col("g.target_name").alias("target"), F.array("f.confidence", "g.confidence").alias("weights"))
+    names = ["product", "sum", "widest", "reach", "clipped"]
+    return registry.path_weights(paths_, ["source", "target"], names).select("source", "target", *[F.round(n, 6).alias(n) for n in names])
+
+
 def pagerank_sql(rounds: int = 20, damping: float = 0.85) -> str:
     parts = ["e AS MATERIALIZED (SELECT a, b, 1.0::DOUBLE / count(*) OVER (PARTITION BY a) AS w FROM n_neighbours)", "v AS MATERIALIZED (SELECT DISTINCT a AS node FROM e UNION SELECT b FROM e)",
              "r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r FROM v)"]
@@ -456,6 +470,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {"i3_pagerank": pagerank_query, "i5_kcore": kcore_query, "j1_cosine_top_k": cosine_query, "a2_objects_csv": objects_csv_query, "a3_morphisms_csv": morphisms_csv_query, "c14_refined": refined_query, "i7_components": components_query, "f5_bootstrap": bootstrap_query, "f16_permutation_test": permutation_query} | {
     "j2_similarities": similarity_query, "j3_analogies": analogy_query, "j4_gaps": gaps_query, "j6_transfer_edges": transfer_query, "d9_similarity_votes": similarity_votes_query, "e20_family_classes": family_query,
     "a5_works": works_query, "a7_concepts": concepts_query, "a8_work_edges": work_edges_query, "a20_signed_edges": signed_edges_query, "a22_articles": articles_query, "d17b_combined": combined_query, "i10_drift": drift_query,
+    "i6_strong_groups": strong_query, "m11_path_weights": path_weights_query,
 }
 ORACLES: dict[str, str] = {name: statement(name) for name in QUERY_NODES} | {"i3_pagerank": pagerank_sql()} | {
     "a2_objects_csv": statement("objects").replace("SELECT * FROM n_objects", "SELECT name, type_name, sector, cohort FROM n_objects"),

@@ -17,6 +17,13 @@ UNION ALL SELECT p.source, list_append(p.seen, e.target_name), p.relation, e.tar
 WHERE p.len < 4 AND p.kind <> 'Disease' AND NOT list_contains(p.seen, e.target_name) AND p.w * e.confidence >= 0.4),
 best AS (SELECT source, node AS target, relation, max(w * [0.0, 0.9, 0.7, 0.5][len]::DOUBLE) AS c FROM p WHERE kind = 'Disease' AND len >= 2 GROUP BY 1, 2, 3)
 SELECT source, target, relation, round(c, 6) AS confidence FROM best ANTI JOIN (SELECT source_name AS source, target_name AS target FROM n_labels_ UNION SELECT source_name, target_name FROM n_last) l USING (source, target) WHERE c >= 0.4""",
+    ),
+    "m11_path_weights": (
+        ("last",),
+        """SELECT d.source_name AS source, t.target_name AS target, round(max(d.confidence * t.confidence), 6) AS product, round(min(d.confidence + t.confidence), 6) AS sum,
+round(max(CASE WHEN d.confidence < t.confidence THEN d.confidence ELSE t.confidence END), 6) AS widest, max(CASE WHEN d.confidence > 0 AND t.confidence > 0 THEN 1 ELSE 0 END)::DOUBLE AS reach,
+round(max(CASE WHEN d.confidence + t.confidence > 1 THEN d.confidence + t.confidence - 1 ELSE 0 END), 6)::DOUBLE AS clipped
+FROM n_last d JOIN n_last t ON t.source_name = d.target_name WHERE d.source_type = 'Drug' AND t.target_type = 'Disease' GROUP BY 1, 2""",
     ),
     "i14_reaches": (
         ("strict",),
