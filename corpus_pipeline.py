@@ -18,15 +18,24 @@ from graphev.llm.simhash_dedup import drop_near_copies, text_class
 from graphev.llm.toxicity import scored
 
 
+def _aside(docs: DataFrame) -> dict[str, str]:
+    """Other names for the columns that operators do not read, so that none clashes with their own."""
+    return {c: f"_in{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.withColumnsRenamed({new: old for old, new in _aside(docs).items()}).select(docs.columns)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     ship(spark)
-    return scored(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(docs.columns)
+    return _back(scored(docs.withColumnsRenamed(_aside(docs)), table(spark, sf_dir, "labels")).filter("predicted = 0").drop("score", "held_out", "predicted"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their text without the lines that stay elsewhere; n_chars follows the text."""
-    out = dedup_lines(docs)
+    out = _back(dedup_lines(docs.withColumnsRenamed(_aside(docs))).drop("n_lines", "n_dropped"), docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
