@@ -41,3 +41,9 @@ def test_decontaminate_leaves_documents_of_the_same_id(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == set(clean)
+
+
+def test_columns_with_the_operators_names_come_back(spark):
+    docs = spark.createDataFrame([(1, "a\nb", 3, "x", 9, 7), (2, None, 0, "y", 8, 6)], "doc_id long, text string, n_chars long, n_lines string, r0 int, score int")
+    rows = sorted(map(tuple, corpus_pipeline.line_dedup(spark, docs, "").collect()))
+    assert rows == [(1, "a\nb", 3, "x", 9, 7), (2, "", 0, "y", 8, 6)]
