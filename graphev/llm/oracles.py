@@ -71,3 +71,23 @@ sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10)
 coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
 sha256(coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
 sum({frame} + length({escaped('role')}) + length({escaped('text')}))::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+#: op13. CRC-32 bit by bit; a run of period q shows as neighbouring pairs (i, i + q) of equal 16-word
+#: stretches, since a wanted run has 16 words more than its period.
+PERIOD_RUNS_SQL = r"""WITH d0 AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+d1 AS (SELECT rid, doc_id, w, len(w)::BIGINT AS n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], list_transform(range(0, 8), lambda z: 0::BIGINT)), lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) AS h FROM d0),
+d2 AS (SELECT *, (h // 10) % n AS a, (h // 10) % 8 + 3 AS k FROM d1),
+d AS MATERIALIZED (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END + 1]) ELSE w END AS w FROM d2),
+t AS MATERIALIZED (SELECT rid, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
+s AS MATERIALIZED (SELECT rid, i, string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS stretch FROM t),
+e AS (SELECT x.rid, x.i, y.i - x.i AS q FROM s x JOIN s y ON x.rid = y.rid AND x.stretch = y.stretch AND x.i < y.i JOIN d ON d.rid = x.rid AND y.i + 16 <= d.n),
+g AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM e),
+r0 AS (SELECT rid, min(i) AS start, max(i) - min(i) + 16 + q AS length, q FROM g GROUP BY rid, q, island),
+r AS MATERIALIZED (SELECT rid, start, length, min(q) AS period FROM r0 GROUP BY rid, start, length HAVING length >= 24 AND length >= 3 * min(q)),
+b AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM r),
+o AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM r GROUP BY rid),
+kept AS (SELECT t.rid, string_agg(word, ' ' ORDER BY t.i) AS said FROM t LEFT JOIN (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r) x ON x.rid = t.rid AND x.i = t.i WHERE x.i IS NULL GROUP BY t.rid)
+SELECT d.doc_id, coalesce(o.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period, (1000 * b.length // b.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(o.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
+FROM d LEFT JOIN o ON o.rid = d.rid LEFT JOIN b ON b.rid = d.rid AND b.k = 1 LEFT JOIN kept ON kept.rid = d.rid"""
