@@ -106,3 +106,13 @@ pair AS (SELECT x.lang, x.source, y.source AS item, coalesce(value, 0) AS value
 parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
+#: op12. All pairs of a label; components by following links.
+EMBEDDING_DEDUP_SQL = """WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
+ok AS MATERIALIZED (SELECT rid, vec_id, label, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS norm FROM v
+  WHERE label IS NOT NULL AND len(vec) > 0 AND len(list_filter(vec, lambda x: x IS NOT NULL AND isfinite(x))) = len(vec) AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.label = b.label AND a.rid <> b.rid AND len(a.vec) = len(b.vec) WHERE list_dot_product(a.vec, b.vec) / (a.norm * b.norm) >= 0.98),
+reach(rid, other) AS (SELECT rid, rid FROM v UNION SELECT reach.rid, link.b FROM reach JOIN link ON link.a = reach.other),
+least AS (SELECT reach.rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.other GROUP BY reach.rid),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN least ON least.rid = v.rid LEFT JOIN degree ON degree.a = v.rid"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphev.llm import chat_format, decontaminate, divergence, exact_dedup, line_dedup, oracles, packing, period_runs, sharding, simhash_dedup, token_counts, toxicity, url_filter
+from graphev.llm import chat_format, cover_tree, decontaminate, divergence, exact_dedup, line_dedup, oracles, packing, period_runs, sharding, simhash_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_retrieval_packing": packing.op10_retrieval_packing,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_embedding_dedup": cover_tree.op12_embedding_dedup,
     "op13_period_runs": period_runs.op13_period_runs,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op5_exact_dedup": oracles.EXACT_DEDUP_SQL,
     "op8_chat_format": oracles.chat_format_sql(),
     "op11_source_divergence": oracles.SOURCE_DIVERGENCE_SQL,
+    "op12_embedding_dedup": oracles.EMBEDDING_DEDUP_SQL,
     "op13_period_runs": oracles.PERIOD_RUNS_SQL,
 }
