@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphev.functions.shared import saved
-from graphev.operators.relation import Relation
+from graphev.operators import signed
+from graphev.operators.relation import NUDGE, Relation, Stepped
 
 neighbours = Relation(
     """SELECT source_name AS a, target_name AS b FROM {view} WHERE name = 'interacts_with' AND source_name <> target_name
@@ -47,33 +48,33 @@ signed_coverage = Relation(
 FROM {view}) q GROUP BY name""",
     ("view",), {}, "I11",
 )
-def spread_over(steps: int, decay: float = 0.5) -> Relation:
-    """The effect of a drug after each step is summed per node before the next, so that a step's
-    rows are drugs times nodes at most, however many walks there are."""
-    rounds = ", ".join(
-        f"x{k} AS (SELECT p.drug, e.t AS node, sum(p.x * e.w) AS x FROM x{k - 1} p JOIN e ON e.s = p.node GROUP BY p.drug, e.t)" for k in range(2, steps + 1)
-    )
-    parts = " UNION ALL ".join(f"SELECT drug, node, {decay**k!r} * x AS x FROM x{k}" for k in range(1, steps + 1))
-    return Relation(
-        f"""WITH e AS (SELECT source_name AS s, target_name AS t, (CASE name WHEN 'inhibits' THEN -1.0 ELSE 1.0 END) / count(*) OVER (PARTITION BY source_name) AS w FROM {{view}} WHERE name <> 'modulates'),
-x1 AS (SELECT s AS drug, t AS node, sum(w) AS x FROM e WHERE s LIKE 'S%' GROUP BY s, t), {rounds}
-SELECT drug, node, round(sum(x), 8) AS total FROM ({parts}) q WHERE node LIKE 'N%' GROUP BY drug, node""",
-        ("view",), {}, "I12, I13: signed effects over the steps, each weaker by decay, read at the diseases; edges without a sign carry none",
-    )
-
-
-signed_spread = spread_over(4)
-def reaches_within(steps: int) -> Relation:
-    """Each step asks only what reaches the nodes that the step before found."""
-    rounds = ", ".join(f"r{k} AS (SELECT DISTINCT v.source_name AS node FROM {{view}} v JOIN r{k - 1} r ON r.node = v.target_name)" for k in range(2, steps + 1))
-    parts = " UNION ALL ".join(f"SELECT node, {k} AS k FROM r{k}" for k in range(1, steps + 1))
-    return Relation(
-        f"""WITH r1 AS (SELECT DISTINCT source_name AS node FROM {{view}} WHERE target_type = 'Disease'), {rounds} SELECT node, min(k) AS steps FROM ({parts}) q GROUP BY node""",
-        ("view",), {}, "I14: what reaches a disease, in how many steps",
-    )
-
-
-reaches = reaches_within(4)
+
+
+def _spread(view: DataFrame) -> DataFrame:
+    panel = view.filter("target_type = 'Disease'").select(F.col("target_name").alias("part"), F.col("target_name").alias("node"), F.lit(1.0).alias("x")).distinct()
+    found = signed.effects(signed.signed_edges(view), panel)
+    return found.filter("node LIKE 'S%'").select(F.col("node").alias("drug"), F.col("part").alias("node"), F.round(F.lit(float(NUDGE)) + F.col("total"), 8).alias("total"))
+
+
+def _reaches(view: DataFrame) -> DataFrame:
+    edges = view.select(F.col("source_name").alias("s"), F.col("target_name").alias("t"))
+    return signed.reverse_reach(edges, view.filter("target_type = 'Disease'").select(F.col("target_name").alias("node")))
+
+
+signed_spread = Stepped(
+    """WITH e AS (SELECT source_name AS s, target_name AS t, (CASE name WHEN 'inhibits' THEN -1.0 ELSE 1.0 END) / count(*) OVER (PARTITION BY source_name) AS w FROM {view} WHERE name <> 'modulates'),
+x1 AS (SELECT s AS drug, t AS node, sum(w) AS x FROM e WHERE s LIKE 'S%' GROUP BY s, t), x2 AS (SELECT p.drug, e.t AS node, sum(p.x * e.w) AS x FROM x1 p JOIN e ON e.s = p.node GROUP BY p.drug, e.t),
+x3 AS (SELECT p.drug, e.t AS node, sum(p.x * e.w) AS x FROM x2 p JOIN e ON e.s = p.node GROUP BY p.drug, e.t), x4 AS (SELECT p.drug, e.t AS node, sum(p.x * e.w) AS x FROM x3 p JOIN e ON e.s = p.node GROUP BY p.drug, e.t)
+SELECT drug, node, round(sum(x), 8) AS total FROM (SELECT drug, node, 0.5 * x AS x FROM x1 UNION ALL SELECT drug, node, 0.25 * x FROM x2 UNION ALL SELECT drug, node, 0.125 * x FROM x3 UNION ALL SELECT drug, node, 0.0625 * x FROM x4) q
+WHERE node LIKE 'N%' GROUP BY drug, node""",
+    ("view",), {}, "I12, I13: signed effects over four steps, each weaker by half, read at the diseases and spread backwards from them", _spread,
+)
+reaches = Stepped(
+    """WITH r1 AS (SELECT DISTINCT source_name AS node FROM {view} WHERE target_type = 'Disease'), r2 AS (SELECT DISTINCT v.source_name AS node FROM {view} v JOIN r1 r ON r.node = v.target_name),
+r3 AS (SELECT DISTINCT v.source_name AS node FROM {view} v JOIN r2 r ON r.node = v.target_name), r4 AS (SELECT DISTINCT v.source_name AS node FROM {view} v JOIN r3 r ON r.node = v.target_name)
+SELECT node, min(k) AS steps FROM (SELECT node, 1 AS k FROM r1 UNION ALL SELECT node, 2 FROM r2 UNION ALL SELECT node, 3 FROM r3 UNION ALL SELECT node, 4 FROM r4) q GROUP BY node""",
+    ("view",), {}, "I14: what reaches a disease, in how many steps", _reaches,
+)
 section_gap = Relation(
     """SELECT name, count(*) AS edges, round(avg(abs(x.size_value - y.size_value) / greatest(abs(x.size_value), abs(y.size_value), 1)), 6) AS mean_gap, round(sum((x.size_value - y.size_value) * (x.size_value - y.size_value)), 2) AS variation
 FROM {view} v JOIN {objects} x ON x.name = v.source_name JOIN {objects} y ON y.name = v.target_name GROUP BY v.name""".replace("SELECT name", "SELECT v.name AS name"),

@@ -162,15 +162,6 @@ rips_edges = R(
 SELECT a.cell AS a, b.cell AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS filtration FROM near a JOIN c b ON b.gx = a.nx AND b.gy = a.ny WHERE a.cell < b.cell AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= :reach * :reach""",
     ("cells",), {"reach": 2.0}, "I9: edges of the radius graph, over a grid",
 )
-drug_effects = R("SELECT drug, round(sum(total), 6) AS x FROM {spread} GROUP BY drug", ("spread",), {}, "a drug's signed effect over the panel")
-synergy = R(
-    """WITH m AS (SELECT median(abs(x)) AS bar FROM {effects}),
-fit AS (SELECT drug, x, bar FROM {effects}, m WHERE x <= bar AND abs(x) > :floor),
-v AS (SELECT v, bar, sum(own) AS own, sum(asks) AS asks FROM (SELECT x AS v, bar, 1 AS own, 0 AS asks FROM fit UNION ALL SELECT round(bar + :floor - x, 6), bar, 0, 1 FROM fit) u GROUP BY v, bar),
-c AS (SELECT v, asks, coalesce(sum(own) OVER (ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM v)
-SELECT f.drug, f.x AS alone, CAST(c.above - CASE WHEN f.x > round(f.bar + :floor - f.x, 6) THEN 1 ELSE 0 END AS BIGINT) AS partners FROM fit f JOIN c ON c.v = round(f.bar + :floor - f.x, 6) WHERE c.asks > 0""",
-    ("effects",), {"floor": 0.0001}, "I15: drugs under the bar by themselves, with the number of partners that lift them over it by the floor; counted over distinct effects (six digits), never by pairs",
-)
 marker_types = R("SELECT cell, CASE WHEN ligand >= 2 AND receptor >= 2 THEN 'dual' WHEN ligand >= 2 THEN 'sender' WHEN receptor >= 2 THEN 'receiver' ELSE 'other' END AS cell_type FROM {cells}", ("cells",), {}, "K1")
 intracellular = R("SELECT cell, least(ligand, receptor) AS confidence FROM {cells} WHERE ligand >= :least AND receptor >= :least", ("cells",), {"least": 0.5}, "K3")
 decoys = R(

@@ -8,6 +8,7 @@ whatever made its inputs. ``duckdb()`` gives the same statement in DuckDB's spel
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -55,3 +56,14 @@ class Relation:
         for ours, theirs in SPELLINGS:
             out = re.sub(ours, theirs, out)
         return out
+
+
+@dataclass(frozen=True)
+class Stepped(Relation):
+    """A relation that Spark works out in steps, each kept before the next; the statement says the
+    same in one, for checks."""
+
+    run: Callable[..., DataFrame] | None = None
+
+    def __call__(self, *frames: DataFrame, **params: Any) -> DataFrame:
+        return self.run(*frames, **params)

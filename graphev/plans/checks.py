@@ -29,11 +29,6 @@ FROM n_last d JOIN n_last t ON t.source_name = d.target_name WHERE d.source_type
         ("strict",),
         """WITH RECURSIVE r(node, k) AS (SELECT DISTINCT source_name, 1 FROM n_strict WHERE target_type = 'Disease'
 UNION SELECT v.source_name, r.k + 1 FROM r JOIN n_strict v ON v.target_name = r.node WHERE r.k < 4) SELECT node, min(k)::INTEGER AS steps FROM r GROUP BY node""",
-    ),
-    "i15_synergy": (
-        ("i12_signed_spread",),
-        """WITH s AS (SELECT drug, round(1e-11 + sum(total), 6) AS x FROM n_i12_signed_spread GROUP BY drug), f AS (SELECT drug, x, bar FROM s, (SELECT median(abs(x)) AS bar FROM s) WHERE x <= bar AND abs(x) > 0.0001)
-SELECT a.drug, a.x AS alone, count(b.drug) AS partners FROM f a LEFT JOIN f b ON b.drug <> a.drug AND b.x > round(1e-11 + a.bar + 0.0001 - a.x, 6) GROUP BY a.drug, a.x""",
     ),
     "a24_receipts": (
         ("receipts",),
