@@ -66,6 +66,8 @@ def threshold_clusters(vectors: DataFrame, least: float = 0.7, block: int = BLOC
     rows = vectors.select("vec_id", vec.alias("vec"), fit.alias("fit"))
     kinds = saved(rows.filter("fit").groupBy("vec").agg(F.min("vec_id").alias("id")))
     pivots = [np.array(r.vec) / np.linalg.norm(r.vec) for r in kinds.orderBy(F.xxhash64("vec"), "id").limit(PIVOTS).collect()]
+    if not pivots:
+        return rows.select("vec_id", F.col("vec_id").alias("cluster"), F.lit(1).cast("long").alias("size"))
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
 
     def far(batches):
@@ -78,8 +80,6 @@ def threshold_clusters(vectors: DataFrame, least: float = 0.7, block: int = BLOC
     placed = row_numbers(measured.withColumn("gap", F.col("gaps")[0]), [F.asc("gap"), F.asc("id")])
     placed = saved(placed.select("id", "vec", "gaps", F.expr(f"(k - 1) div {block}").alias("block")))
     ranges = placed.groupBy("block").agg(*[f(F.col("gaps")[i]).alias(f"{n}{i}") for i in range(len(pivots)) for n, f in (("lo", F.min), ("hi", F.max))])
-    if not pivots:
-        return rows.select("vec_id", F.col("vec_id").alias("cluster"), F.lit(1).cast("long").alias("size"))
     # cells as wide as the reach along the first pivot: blocks that are near enough share one
     cell = lambda c: F.floor(F.col(c) / reach).cast("int")
     left = ranges.withColumn("cell", F.explode(F.sequence(cell("lo0"), cell("hi0")))).alias("x")
