@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphev.operators.components import components
 from graphev.operators.relation import Relation
 
 legacy_objects = Relation(
@@ -52,16 +50,3 @@ def article_text(xml: F.Column) -> F.Column:
     """All sections of an article's abstract without their tags, joined by a space; none: empty."""
     parts = F.regexp_extract_all(xml, F.lit("(?s)<AbstractText[^>]*>(.*?)</AbstractText>"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, "<[^>]+>", ""))), " ")
-
-
-def drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Edges (a, b) of two graphs -> one row: groups_before, groups_after, change, anomaly
-    (fragmentation, merging or null), severity. Groups are connected components; loops count not."""
-    counts = [components(e).agg(F.count_distinct("root").alias(n)) for e, n in ((before, "groups_before"), (after, "groups_after"))]
-    both = counts[0].crossJoin(counts[1])  # one row each
-    change = F.col("groups_after") - F.col("groups_before")
-    size = F.abs(change)
-    return both.select(
-        "*", change.alias("change"), F.when(change > 0, "fragmentation").when(change < 0, "merging").alias("anomaly"),
-        F.when(size == 0, "none").when(size <= 2, "low").when(size <= 5, "medium").otherwise("high").alias("severity"),
-    )

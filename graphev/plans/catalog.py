@@ -435,12 +435,6 @@ def combined_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return belief.combined(rows, ["pair"], 2).select("pair", "subset", F.round("mass", 6).alias("mass"), F.round("conflict", 6).alias("conflict"))
 
 
-def drift_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The interactions, and those of at least 0.8."""
-    edges = frame(spark, sf_dir, "strict").filter("name = 'interacts_with' and source_name <> target_name").select(F.col("source_name").alias("a"), F.col("target_name").alias("b"), "confidence")
-    return records.drift(edges, edges.filter("confidence >= 0.8"))
-
-
 def strong_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strong.strong_groups(frame(spark, sf_dir, "strict").select(F.col("source_name").alias("a"), F.col("target_name").alias("b")))
 
@@ -467,7 +461,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: (lambda spark, sf_dir, name=name: frame(spark, sf_dir, name)) for name in QUERY_NODES
 } | {"i3_pagerank": pagerank_query, "i5_kcore": kcore_query, "j1_cosine_top_k": cosine_query, "a2_objects_csv": objects_csv_query, "a3_morphisms_csv": morphisms_csv_query, "c14_refined": refined_query, "i7_components": components_query, "f5_bootstrap": bootstrap_query, "f16_permutation_test": permutation_query} | {
     "j2_similarities": similarity_query, "j3_analogies": analogy_query, "j4_gaps": gaps_query, "j6_transfer_edges": transfer_query, "d9_similarity_votes": similarity_votes_query, "e20_family_classes": family_query,
-    "a5_works": works_query, "a7_concepts": concepts_query, "a8_work_edges": work_edges_query, "a20_signed_edges": signed_edges_query, "a22_articles": articles_query, "d17b_combined": combined_query, "i10_drift": drift_query,
+    "a5_works": works_query, "a7_concepts": concepts_query, "a8_work_edges": work_edges_query, "a20_signed_edges": signed_edges_query, "a22_articles": articles_query, "d17b_combined": combined_query, 
     "i6_strong_groups": strong_query, "m11_path_weights": path_weights_query,
 }
 ORACLES: dict[str, str] = {name: statement(name) for name in QUERY_NODES} | {"i3_pagerank": pagerank_sql()} | {

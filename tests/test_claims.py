@@ -72,7 +72,7 @@ def test_quantities(spark):
         ("hazard_ratio", 0.62, "HR", 0.85), ("hazard_ratio", 9.0, "HR", 0.4), ("ic50", pytest.approx(0.0125), "μM", 0.8), ("ic50", 3000.0, "μM", 0.5), ("mutation_frequency", 0.125, "proportion", 0.7), ("response_rate", 0.45, "proportion", 0.9),
     ]
     assert all(text[r.place : r.place + 3].lower() in r.context.lower() for r in rows) and rows[2].context == text[: 14 + 50]
-    assert [r.status for r in rows] == ["specific", "specific", "specific", "specific", "specific", "none"]
+    assert [r.status for r in rows] == ["specific", "specific", "specific", "general", "specific", "none"]
 
 
 def test_outcomes(spark):

@@ -280,9 +280,3 @@ def test_records_and_signed_networks(spark, tmp_path):
     lines = ["a\tb\ts\tt\td\tp\tm", "1\t2\tA\tB\tTrue\tTrue\tFalse", "1\t2\t\tC\tTrue\tFalse\tTrue", "1\t2\tA\tD\tTrue\tTrue\tTrue", "1\t2\tA\tE\tFalse\tTrue\tFalse", "1\t2\tA"]
     (tmp_path / "n.tsv").write_text("\n".join(lines))
     assert {tuple(r) for r in works.load_signed_edges(spark, str(tmp_path / "n.tsv")).collect()} == {("A", "B", 1), ("1", "C", -1)}
-
-
-def test_drift(spark):
-    pairs = lambda *p: spark.createDataFrame(p, "a int, b int")
-    got = records.drift(pairs((1, 2), (2, 3), (3, 4)), pairs((1, 2), (3, 4))).first()
-    assert (got.groups_before, got.groups_after, got.anomaly, got.severity) == (1, 2, "fragmentation", "low")
