@@ -4,9 +4,10 @@ Each document is split at newlines. A line's key is the line without [\\x20\\x09
 ends and with A-Z lower-cased. A key of at least ``min_chars`` code points that is found in at
 least ``min_docs`` documents loses all its lines but those in the largest doc_id that holds it.
 
-The documents arrive in batches of falling doc_id. A batch's distinct keys form a sorted run.
-The batch is merge-anti-joined with the runs so far: keys that no run knows come in with their
-owner (their largest doc_id), known keys add only a count. When ``fanout`` runs stand on a level,
+The documents arrive in batches; those of one table are dealt by falling doc_id, so that a known key
+never has a new owner. A batch's distinct keys form a sorted run. The batch is merge-anti-joined with
+the runs so far: keys that no run knows with as large an owner come in with theirs (their largest
+doc_id), other keys add only a count. When ``fanout`` runs stand on a level,
 they are compacted into one run of the next level. All runs are hash-partitioned and sorted by
 key in the same way, so these joins merge without a shuffle; writing a compacted run takes one.
 Text is never in a run: rows hold two 64-bit hashes of a key.
@@ -78,20 +79,21 @@ def compacted(runs: list[DataFrame]) -> DataFrame:
     for run in runs[1:]:
         joined = every.alias("a").join(run.alias("b"), KEY, "full_outer")
         every = joined.select(
-            *KEY, (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"), F.coalesce("a.owner", "b.owner").alias("owner")
+            *KEY, (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"), F.greatest("a.owner", "b.owner").alias("owner")
         )
     return every
 
 
 def add_batch(levels: list[list[DataFrame]], new: DataFrame, fanout: int) -> list[list[DataFrame]]:
     """The runs after a batch. levels: the runs so far, by level; new: the batch's distinct keys (h1,
-    h2, n, owner), all of its doc_ids smaller than those of the batches before. Keys that no run
-    knows keep their owner, known ones only add to the count. Runs may come from earlier jobs, as
-    they are plain tables; those of saved_run merge without a shuffle."""
+    h2, n, owner), of documents in any order of doc_id. Keys that no run knows with an owner as large
+    keep theirs, the others only add to the count. Runs may come from earlier jobs, as they are plain
+    tables; those of saved_run merge without a shuffle."""
     known = [run for level in levels for run in level]
     fresh = new
     for run in known:
-        fresh = fresh.join(run.filter(F.col("owner").isNotNull()), KEY, "left_anti")
+        as_large = F.col("run.owner") >= F.col("new.owner")
+        fresh = fresh.alias("new").join(run.alias("run"), (F.col("new.h1") == F.col("run.h1")) & (F.col("new.h2") == F.col("run.h2")) & as_large, "left_anti")
     if known:
         marked = new.join(fresh.select(*KEY, F.lit(True).alias("fresh")), KEY, "left")
         new = marked.select(*KEY, "n", F.when(F.col("fresh"), F.col("owner")).alias("owner"))
