@@ -245,6 +245,12 @@ def kept(spark: SparkSession, sf_dir: str, name: str, made: DataFrame | None) ->
     return spark.read.parquet(_kept[at])
 
 
+def forget(*names: str) -> None:
+    """Lets stored nodes be made anew."""
+    for at in [at for at in _kept if at[2] in names]:
+        del _kept[at]
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
     """The DataFrame of a node or table; each is built once for a query."""
     made = {} if made is None else made
