@@ -144,6 +144,11 @@ def judged(claims: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return claims.withColumns(tests).withColumn("_j", F.coalesce(*said)).select(*claims.columns, "_j.*")
 
 
+def verdict_by(rules: Sequence[Rule]) -> Column:
+    """The verdict alone, as a column over claims: a verifier."""
+    return F.coalesce(*[F.when(r.test(Claim.of()).isNotNull(), F.lit(r.verdict)) for r in rules])
+
+
 def gate_rules(keywords: dict = KEYWORDS, against: dict = AGAINST) -> list[Rule]:
     """Does a proof sentence support the relation, or only name both ends?"""
     return [

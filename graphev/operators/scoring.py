@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from graphev.operators.relation import Relation
 
 pair_scores = Relation(
@@ -82,3 +85,21 @@ actionability = Relation(
 SELECT *, CASE WHEN chains >= 2 THEN 1.0 WHEN chains = 1 THEN 0.5 ELSE 0.1 END AS tier_factor FROM {scores}) q""",
     ("scores",), {}, "E30",
 )
+
+
+def score_breakdown(votes: DataFrame, paths: DataFrame, likeness: str = "fingerprint") -> DataFrame:
+    """Votes (source, target, strategy, confidence) of any strategies, paths (source, target, chains,
+    total) -> a row per pair with a vote: the best vote of each strategy, their mean but for ``likeness``,
+    which adds a bonus of its own, the bonus of paths, the discount without any, and the score.
+
+    Pairs without a vote score 0 and have no row."""
+    best = votes.groupBy("source", "target", "strategy").agg(F.max("confidence").alias("c"))
+    other = F.col("strategy") != likeness
+    rows = best.groupBy("source", "target").agg(
+        F.count("*").alias("votes"), F.array_join(F.array_sort(F.collect_list("strategy")), "+").alias("strategies"),
+        F.coalesce(F.sum(F.when(other, F.col("c"))) / F.nullif(F.count_if(other), F.lit(0)), F.lit(0.0)).alias("base"), F.coalesce(F.max(F.when(~other, F.col("c"))), F.lit(0.0)).alias("like"),
+    )
+    rows = rows.join(paths.select("source", "target", "chains", "total"), ["source", "target"], "left").fillna({"chains": 0, "total": 0.0})
+    rows = rows.withColumns({"path_bonus": F.least(F.lit(0.25), 0.04 * F.col("total")), "like_bonus": F.when(F.col("like") > 0, F.least(F.lit(0.10), 0.06 * F.col("like"))).otherwise(0.0), "discounted": F.col("chains") == 0})
+    raw = (F.col("base") + F.col("path_bonus") + F.col("like_bonus")) * F.when(F.col("discounted"), 0.8).otherwise(1.0)
+    return rows.withColumn("raw", raw).withColumn("score", F.least(F.lit(1.0), "raw")).drop("like")
