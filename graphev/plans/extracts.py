@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphev.functions.shared import new_dir
 from graphev.operators import extract, homology
 from graphev.operators.relation import Relation
 from graphev.plans.catalog import frame, head
+from graphev.sources import loaders
 
 #: The star's tables as those of a bioactivity database.
 TABLES: dict[str, tuple[Relation, tuple[str, ...]]] = {
@@ -76,12 +78,35 @@ def drift_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return homology.drift(edges, edges.filter("confidence >= 0.8"), nodes)
 
 
+def rips_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triangles of the radius graph, each there from its longest edge on."""
+    edges = frame(spark, sf_dir, "i9_rips_edges")
+    faces = homology.triangles(homology.undirected(edges))
+    for x, y in (("u", "v"), ("u", "w"), ("v", "w")):
+        faces = faces.join(edges.select(F.col("a").alias(x), F.col("b").alias(y), F.col("filtration").alias(f"{x}{y}")), [x, y])
+    return faces.select("u", "v", "w", F.greatest("uv", "uw", "vw").alias("filtration"))
+
+
+def graph_json_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: a file of objects and edges for each disease, read back."""
+    edges = frame(spark, sf_dir, "morphisms").filter("name = 'treats'")
+    one = F.struct("name", F.col("source_name").alias("source"), F.col("target_name").alias("target"), F.when(F.col("confidence") < 1, F.col("confidence")).alias("confidence"))
+    whole = edges.groupBy("target_name").agg(F.collect_list(one).alias("morphisms"), F.array(F.struct(F.first("target_name").alias("name"), F.lit(None).cast("string").alias("type_name"))).alias("objects"))
+    folder = new_dir(spark, "graph-json")
+    whole.drop("target_name").write.option("maxRecordsPerFile", 1).json(folder)
+    objects, read = loaders.load_graph_json(spark, f"{folder}/part-*")
+    said = objects.select(F.lit("object").alias("part"), "name", F.col("type_name").alias("source_name"), F.lit(None).cast("string").alias("target_name"), F.lit(None).cast("double").alias("confidence"))
+    return said.unionByName(read.select(F.lit("edge").alias("part"), "name", "source_name", "target_name", "confidence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a10_mechanism_pairs": mechanisms_query,
     "a11_activity_pairs": activities_query,
     "a12_drug_targets": merged_query,
     "a13_target_edges": target_edges_query,
+    "a4_graph_json": graph_json_query,
     "i7_betti": betti_query,
+    "i9_rips_triangles": rips_query,
     "i10_drift": drift_query,
 }
 
@@ -104,6 +129,10 @@ ORACLES: dict[str, str] = {
     "a11_activity_pairs": f"{_SQL} SELECT * EXCLUDE (pref_name, pchembl) FROM a11",
     "a12_drug_targets": f"{_SQL} SELECT * EXCLUDE (x, y, pref_name) FROM a12",
     "a13_target_edges": f"{_SQL} SELECT drug AS source, target, {_CLASS} AS relation, round(score, 3) AS confidence, provenance FROM a12",
+    "a4_graph_json": f"{head('morphisms')}, t AS (SELECT * FROM n_morphisms WHERE name = 'treats') SELECT 'object' AS part, target_name AS name, 'Object' AS source_name, NULL AS target_name, NULL::DOUBLE AS confidence FROM t GROUP BY target_name UNION ALL SELECT 'edge', name, source_name, target_name, 1.0::DOUBLE FROM t",
+    # cells by their distances, not by a grid
+    "i9_rips_triangles": f"""{head('cells')}, e AS MATERIALIZED (SELECT a.cell AS a, b.cell AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM n_cells a JOIN n_cells b ON a.cell < b.cell WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4)
+SELECT x.a AS u, x.b AS v, y.b AS w, round(1e-11 + greatest(x.d, y.d, z.d), 6) AS filtration FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b""",
     # smallest labels over twelve rounds of neighbours
     "i7_components": f"{head('neighbours')}, l0 AS (SELECT DISTINCT a AS node, a AS root FROM n_neighbours), "
     + ", ".join(f"l{k} AS MATERIALIZED (SELECT l.node, least(any_value(l.root), min(m.root)) AS root FROM l{k - 1} l JOIN n_neighbours n ON n.a = l.node JOIN l{k - 1} m ON m.node = n.b GROUP BY l.node)" for k in range(1, 13))
