@@ -52,7 +52,7 @@ FROM {view}) q GROUP BY name""",
 
 def _spread(view: DataFrame) -> DataFrame:
     panel = view.filter("target_type = 'Disease'").select(F.col("target_name").alias("part"), F.col("target_name").alias("node"), F.lit(1.0).alias("x")).distinct()
-    found = signed.effects(signed.signed_edges(view), panel)
+    found = signed.effects(signed.saved(signed.signed_edges(view)), panel)
     return found.filter("node LIKE 'S%'").select(F.col("node").alias("drug"), F.col("part").alias("node"), F.round(F.lit(float(NUDGE)) + F.col("total"), 8).alias("total"))
 
 
