@@ -3,8 +3,10 @@
 Documents become token ids and one end id. Tasks cut their part of the documents into shards of
 about ``SHARD_TOKENS`` ids; each shard gets an inverted index over token ids with BM25 weights,
 whose document frequencies and mean length come from all documents. A seed document opens a
-window; its ``QUERY_TERMS`` heaviest ids look up the shard's best unused neighbours, which follow
-the seed, best first. A document that does not fit is cut, fills its window to the last id and
+window; all its distinct ids look up the shard's best unused neighbours, which follow the seed,
+best first. No id and no posting is left out: a shard's most frequent ids are columns of a matrix,
+whose products with the seeds are their sums of weights, and all other ids have lists of postings.
+The end mark, which all documents share, weighs nothing. A document that does not fit is cut, fills its window to the last id and
 opens the next one as its seed, so every window but a task's last is full. Where the index knows
 no unused neighbour, the next document in the order of the scan follows.
 
@@ -27,7 +29,11 @@ from graphev.llm.common import new_dir, table
 from graphev.llm.tokens import VOCABULARY, token_rows
 
 WINDOW, END, SHARD_TOKENS = 2048, 1, 1 << 22
-QUERY_TERMS, K1, B = 16, 1.2, 0.75
+K1, B = 1.2, 0.75
+#: Cells of a shard's matrix and of its kept products (16 and 64 MB), its columns at most, documents
+#: whose products are made together, and how many neighbours are taken at a time. They bound memory
+#: and set the speed; the neighbours do not depend on them.
+CELLS, KEPT_CELLS, COLUMNS, TOGETHER, AT_A_TIME = 1 << 22, 1 << 24, 2048, 256, 64
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -69,35 +75,61 @@ class Shard:
     """The inverted index of one shard's documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        last = np.zeros(VOCABULARY, np.int64)
-        terms, weights, of = [], [], []
-        self.queries = []
-        for d, ids in enumerate(docs):
+        last, n = np.zeros(VOCABULARY, np.int64), len(docs)
+        self.queries, weights = [], []
+        for ids in docs:
             t, tf = term_counts(ids, last)
-            w = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
-            best = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(w) > QUERY_TERMS else np.arange(len(w))
-            self.queries.append(t[best])
-            terms.append(t)
-            weights.append(w.astype(np.float32))
-            of.append(np.full(len(t), d, np.int32))
-        terms, order = np.concatenate(terms), None
+            self.queries.append(t)
+            weights.append((idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))).astype(np.float32))
+        terms, weights = np.concatenate(self.queries), np.concatenate(weights)
+        of = np.repeat(np.arange(n, dtype=np.int32), [len(q) for q in self.queries])
+        df = np.bincount(terms, minlength=VOCABULARY)
+        width = max(1, min(COLUMNS, CELLS // n))
+        frequent = np.argpartition(-df, width)[:width]
+        self.column = np.full(VOCABULARY, -1, np.int32)
+        self.column[frequent] = np.arange(width, dtype=np.int32)
+        column = self.column[terms]
+        wide = column >= 0
+        self.matrix = np.zeros((n, width), np.float32)
+        self.matrix[of[wide], column[wide]] = weights[wide]
+        terms, weights, of = terms[~wide], weights[~wide], of[~wide]
         order = np.argsort(terms, kind="stable")
-        self.weights, self.docs = np.concatenate(weights)[order], np.concatenate(of)[order]
+        self.weights, self.docs = weights[order], of[order]
         self.at = np.searchsorted(terms[order], np.arange(VOCABULARY + 1))
-        self.unused = np.ones(len(docs), bool)
+        self.together = TOGETHER if n * n <= KEPT_CELLS else 1
+        self.products: dict[int, np.ndarray] = {}
+        self.unused = np.ones(n, bool)
         self.next = 0
 
+    def sums(self, d: int) -> np.ndarray:
+        """The sums of every document's weights over d's frequent ids."""
+        group, row = divmod(d, self.together)
+        if (made := self.products.get(group)) is None:
+            first = group * self.together
+            asked = np.zeros((min(self.together, len(self.queries) - first), self.matrix.shape[1]), np.float32)
+            for i in range(len(asked)):
+                columns = self.column[self.queries[first + i]]
+                asked[i, columns[columns >= 0]] = 1
+            made = asked @ self.matrix.T
+            if self.together > 1:
+                self.products[group] = made
+        return made[row]
+
+    def scores(self, d: int) -> np.ndarray:
+        """The BM25 score of every document for all distinct ids of d."""
+        spans = [slice(self.at[t], self.at[t + 1]) for t in self.queries[d] if self.column[t] < 0]
+        if not spans:
+            return self.sums(d).copy()
+        found, weights = np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans])
+        return self.sums(d) + np.bincount(found, weights, len(self.queries))
+
     def neighbours(self, d: int) -> list[int]:
-        """Unused documents that share a query id with d, the worst first."""
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.queries[d]]
-        docs = np.concatenate([self.docs[s] for s in spans])
-        free = self.unused[docs]
-        if not free.any():
-            return []
-        docs = docs[free]
-        scores = np.bincount(docs, np.concatenate([self.weights[s] for s in spans])[free])
-        found = np.flatnonzero(scores)
-        return found[np.argsort(scores[found], kind="stable")].tolist()
+        """The best unused documents that share an id with d, the worst first. Empty if none is left."""
+        scores = self.scores(d)
+        scores[~self.unused] = 0
+        best = np.argpartition(-scores, AT_A_TIME)[:AT_A_TIME] if len(scores) > AT_A_TIME else np.arange(len(scores))
+        best = best[scores[best] > 0]
+        return best[np.lexsort((-best, scores[best]))].tolist()
 
     def following(self) -> int | None:
         while self.next < len(self.unused) and not self.unused[self.next]:
@@ -126,20 +158,18 @@ class Windows:
 
     def fill(self, doc_ids: list, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         shard = Shard(docs, idf, mean)
-        queue: list[int] = []
-        while (d := self.best(queue, shard)) is not None:
+        seed, queue = None, []
+        while True:
+            if not queue and seed is not None:
+                queue = shard.neighbours(seed)
+            d = queue.pop() if queue else shard.following()
+            if d is None:
+                return
             shard.unused[d] = False
             if self.place(doc_ids[d], docs[d]):
-                queue = shard.neighbours(d)
+                seed, queue = d, []
             elif self.used == 0:
-                queue = []
-
-    @staticmethod
-    def best(queue: list[int], shard: Shard) -> int | None:
-        while queue:
-            if shard.unused[d := queue.pop()]:
-                return d
-        return shard.following()
+                seed, queue = None, []
 
 
 def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, tokens_at: str | None = None) -> DataFrame:
@@ -151,7 +181,9 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
     token_rows(docs, END).write.parquet(tokens_at)
     rows = spark.read.schema(f"doc_id {kind}, ids binary").parquet(tokens_at)
     df, n, mean = corpus_stats(rows)
-    known = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), max(mean, 1.0)))
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    idf[END] = 0
+    known = spark.sparkContext.broadcast((idf, max(mean, 1.0)))
 
     def run(batches):
         idf, mean = known.value

@@ -371,6 +371,59 @@ def test_ids_are_the_tokenizers_ids(spark, docs, rows, tokenizer):
     assert ids == collections.Counter((d, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u2").tobytes()) for d, t in rows)
 
 
+def plain_bm25(docs, idf, mean):
+    """Scores of all pairs of documents by loops: the weights of the second over the first's ids."""
+    counts = [collections.Counter(d.tolist()) for d in docs]
+    size = [len(d) for d in docs]
+
+    def weight(c, n, t):
+        return float(idf[t]) * c[t] * (packing.K1 + 1) / (c[t] + packing.K1 * (1 - packing.B + packing.B * n / mean))
+
+    return [[sum(weight(c, n, t) for t in q if t in c) for c, n in zip(counts, size)] for q in counts]
+
+
+@pytest.mark.parametrize(("cells", "kept"), [(1 << 22, 1 << 24), (300, 1 << 24), (300, 0)])
+def test_packing_neighbours_are_bm25s_over_all_ids(monkeypatch, cells, kept):
+    """Whole queries against brute force, with few and many columns in the matrix; used documents are no neighbours."""
+    monkeypatch.setattr(packing, "CELLS", cells)
+    monkeypatch.setattr(packing, "KEPT_CELLS", kept)
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.zipf(1.3, rng.integers(1, 90)) % 400 + 2, packing.END).astype("<u2") for _ in range(120)]
+    docs += [docs[3], docs[3], np.array([packing.END], "<u2")]
+    idf = rng.random(packing.VOCABULARY).astype(np.float32)
+    idf[packing.END] = 0
+    shard, right = packing.Shard(docs, idf, 40.0), np.array(plain_bm25(docs, idf, 40.0))
+    shard.unused[[7, 8, 9]] = False
+    for d in range(len(docs)):
+        assert np.allclose(shard.scores(d), right[d], rtol=1e-4, atol=1e-5)
+        want = np.where(shard.unused, right[d], 0)
+        got = shard.neighbours(d)[::-1]
+        assert len(got) == min(packing.AT_A_TIME, (want > 0).sum()) and not {7, 8, 9} & set(got)
+        assert np.allclose(want[got], np.sort(want)[::-1][: len(got)], rtol=1e-4, atol=1e-5)
+
+
+def test_packing_fills_a_window_with_the_seeds_best_neighbours(monkeypatch):
+    """Every window's documents, in order, against brute force over what was unused; neighbours are taken two at a time."""
+    monkeypatch.setattr(packing, "AT_A_TIME", 2)
+    rng = np.random.default_rng(8)
+    docs = [np.append(rng.integers(2, 60, rng.integers(3, 12)), packing.END).astype("<u2") for _ in range(80)]
+    idf = rng.random(packing.VOCABULARY).astype(np.float32)
+    idf[packing.END] = 0
+    out = packing.Windows(0, 64)
+    out.fill(list(range(80)), docs, idf, 8.0)
+    right, unused, seed, used = plain_bm25(docs, idf, 8.0), set(range(80)), None, 0
+    for d in [p[0] for p in out.pieces if p[1] == 0]:
+        if seed is None:
+            assert d == min(unused)
+        else:
+            best = max(right[seed][x] for x in unused)
+            assert right[seed][d] >= best - 1e-4 if best > 0 else d == min(unused)
+        unused.remove(d)
+        opened, used = used == 0 or used + len(docs[d]) > 64, (used + len(docs[d])) % 64
+        seed = None if used == 0 else d if opened else seed
+    assert not unused
+
+
 def test_packing(docs, rows, none, tokenizer):
     got = packing.pack(docs, window=64, shard_tokens=500).collect()
     fill = collections.defaultdict(list)
