@@ -87,15 +87,15 @@ SELECT *, CASE WHEN chains >= 2 THEN 1.0 WHEN chains = 1 THEN 0.5 ELSE 0.1 END A
 )
 
 
-def score_breakdown(votes: DataFrame, paths: DataFrame, likeness: str = "fingerprint") -> DataFrame:
+def score_breakdown(votes: DataFrame, paths: DataFrame, likeness: str = "fingerprint", by: tuple[str, ...] = ()) -> DataFrame:
     """Votes (source, target, strategy, confidence) of any strategies, paths (source, target, chains,
     total) -> a row per pair with a vote: the best vote of each strategy, their mean but for ``likeness``,
     which adds a bonus of its own, the bonus of paths, the discount without any, and the score.
 
-    Pairs without a vote score 0 and have no row."""
-    best = votes.groupBy("source", "target", "strategy").agg(F.max("confidence").alias("c"))
+    Pairs without a vote score 0 and have no row. ``by``: columns of votes that keep folds apart."""
+    best = votes.groupBy(*by, "source", "target", "strategy").agg(F.max("confidence").alias("c"))
     other = F.col("strategy") != likeness
-    rows = best.groupBy("source", "target").agg(
+    rows = best.groupBy(*by, "source", "target").agg(
         F.count("*").alias("votes"), F.array_join(F.array_sort(F.collect_list("strategy")), "+").alias("strategies"),
         F.coalesce(F.sum(F.when(other, F.col("c"))) / F.nullif(F.count_if(other), F.lit(0)), F.lit(0.0)).alias("base"), F.coalesce(F.max(F.when(~other, F.col("c"))), F.lit(0.0)).alias("like"),
     )

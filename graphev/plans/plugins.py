@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphev.functions import registry
-from graphev.operators import claims, scoring
+from graphev.operators import claims, holdout, scoring
 from graphev.plans import texts
 from graphev.plans.catalog import frame, head
 
@@ -56,8 +56,26 @@ def successors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("score", F.round("score", 5))
 
 
+def leave_one_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    made: dict[str, DataFrame] = {}
+    node = lambda name: frame(spark, sf_dir, name, made)
+    fixed = registry.votes_of(["composition", "pathway_support"], node)
+    return holdout.leave_one_out(node("typed"), node("objects"), node("vote_prints"), fixed, node("d1_composition"))
+
+
+def folds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: every label held out of all votes, against all negatives of its fold."""
+    return leave_one_out(spark, sf_dir)[0]
+
+
+def fold_ranking_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: held scores and mean scores of negatives, the ranking that the metrics read."""
+    return leave_one_out(spark, sf_dir)[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e2_score_breakdown": breakdown_query, "m7_strategy_votes": votes_query, "m8_metric_by_fold": metric_query, "g10_quarantine": quarantine_query, "m10_next_steps": successors_query,
+    "f8_all_votes": folds_query, "f8_fold_ranking": fold_ranking_query,
 }
 
 _VOTES = " UNION ALL ".join(f"SELECT source, target, '{name}' AS strategy, confidence::DOUBLE AS confidence FROM n_{node}" for name, node in NODES.items())
@@ -67,6 +85,30 @@ p AS (SELECT v.*, coalesce(c.chains, 0) AS chains, coalesce(c.total, 0) AS total
 q AS (SELECT *, CASE WHEN total > 6.25 THEN 0.25 ELSE 0.04::DOUBLE * total END AS pb, CASE WHEN 0.06::DOUBLE * sim > 0.1 THEN 0.1 ELSE 0.06::DOUBLE * sim END AS lb FROM p), z AS (SELECT *, (base + pb + lb) * CASE WHEN chains > 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS raw FROM q)
 SELECT source, target, votes, strategies, round(base + 1e-9, 4) AS base, chains, round(total + 1e-9, 4) AS total, round(pb + 1e-9, 4) AS path_bonus, round(lb + 1e-9, 4) AS like_bonus, chains = 0 AS discounted, round(raw + 1e-9, 4) AS raw, round(1e-9 + CASE WHEN raw > 1 THEN 1 ELSE raw END, 6) AS score FROM z"""
 
+#: The plain loop over folds as one statement: all votes of all folds, made from the labels that are left.
+#: In these tables a drug's edges to diseases are its labels only.
+_FOLDS = """l AS MATERIALIZED (SELECT source_name AS s, target_name AS t, max(confidence) AS c FROM n_typed WHERE name = 'treats' AND source_type = 'Drug' AND target_type = 'Disease' GROUP BY 1, 2),
+lf AS MATERIALIZED (SELECT f.s AS d, f.t AS e, l.* FROM l f, l WHERE NOT (f.s = l.s AND f.t = l.t)), k AS MATERIALIZED (SELECT d, e, s, count(*) AS n FROM lf GROUP BY 1, 2, 3),
+o AS (SELECT DISTINCT source_name AS s, target_name AS t FROM n_typed WHERE source_type = 'Drug' AND name <> 'treats'), r AS (SELECT DISTINCT source_name AS s, name AS t FROM n_typed WHERE source_type = 'Drug' AND name <> 'treats'),
+ot AS MATERIALIZED (SELECT a.s AS a, b.s AS b, count(*) AS n FROM o a JOIN o b ON a.t = b.t AND a.s <> b.s GROUP BY 1, 2), rt AS MATERIALIZED (SELECT a.s AS a, b.s AS b, count(*) AS n FROM r a JOIN r b ON a.t = b.t AND a.s <> b.s GROUP BY 1, 2),
+os AS (SELECT s, count(*) AS n FROM o GROUP BY 1), rs AS (SELECT s, count(*) AS n FROM r GROUP BY 1), lt AS MATERIALIZED (SELECT a.d, a.e, a.s AS a, b.s AS b, count(*) AS n FROM lf a JOIN lf b ON a.d = b.d AND a.e = b.e AND a.t = b.t AND a.s <> b.s GROUP BY 1, 2, 3, 4),
+ov AS MATERIALIZED (SELECT f.s AS d, f.t AS e, rt.a, rt.b, coalesce(ot.n, 0) + coalesce(lt.n, 0) AS st, rt.n + CASE WHEN ka.n > 0 AND kb.n > 0 THEN 1 ELSE 0 END AS sr, oa.n + coalesce(ka.n, 0) AS na, ob.n + coalesce(kb.n, 0) AS nb,
+  ra.n + CASE WHEN ka.n > 0 THEN 1 ELSE 0 END AS ar, rb.n + CASE WHEN kb.n > 0 THEN 1 ELSE 0 END AS br FROM l f CROSS JOIN rt LEFT JOIN ot ON ot.a = rt.a AND ot.b = rt.b LEFT JOIN lt ON lt.d = f.s AND lt.e = f.t AND lt.a = rt.a AND lt.b = rt.b
+  LEFT JOIN k ka ON ka.d = f.s AND ka.e = f.t AND ka.s = rt.a LEFT JOIN k kb ON kb.d = f.s AND kb.e = f.t AND kb.s = rt.b JOIN os oa ON oa.s = rt.a JOIN os ob ON ob.s = rt.b JOIN rs ra ON ra.s = rt.a JOIN rs rb ON rb.s = rt.b),
+ways AS (SELECT ov.d, ov.e, a, lf.t, st + sr AS w, (sr / (ar + br - sr)::DOUBLE + st / (na + nb - st)::DOUBLE) / 2 AS sim FROM ov JOIN lf ON lf.d = ov.d AND lf.e = ov.e AND lf.s = ov.b),
+z AS (SELECT who, sum(c) AS n FROM n_vote_prints GROUP BY 1), co AS MATERIALIZED (SELECT a.who AS a, b.who AS b, sum(least(a.c, b.c)) AS m FROM n_vote_prints a JOIN n_vote_prints b ON a.other = b.other AND a.rel = b.rel AND a.who <> b.who GROUP BY 1, 2),
+fp AS MATERIALIZED (SELECT a, b, m / (x.n + y.n - m) AS sim FROM co JOIN z x ON x.who = a JOIN z y ON y.who = b),
+v AS MATERIALIZED (SELECT d, e, a AS s, t, 'analog' AS k, least(0.9::DOUBLE, round(1e-11 + 0.4::DOUBLE + 0.1::DOUBLE * count(*) + 0.05::DOUBLE * sum(w), 6)) AS c FROM ways GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT d, e, a, t, 'pattern', round(1e-11 + max(least(0.8::DOUBLE, 0.5::DOUBLE + 0.4::DOUBLE * sim)), 6) FROM ways WHERE sim > 0.3 GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT d, e, q.name, t, 'fiber_lift', round(1e-11 + max(least(0.7::DOUBLE, 0.8::DOUBLE * lf.c)), 6) FROM lf JOIN n_objects p ON p.name = lf.s JOIN n_objects q ON q.sector = p.sector AND q.name <> p.name AND q.type_name = 'Drug' GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT d, e, fp.a, t, 'fingerprint', round(1e-11 + max(sim), 6) FROM lf JOIN fp ON fp.b = lf.s GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT l.s, l.t, source, target, 'composition', confidence::DOUBLE FROM l, n_d1_composition UNION ALL SELECT l.s, l.t, source, target, 'pathway_support', confidence::DOUBLE FROM l, n_d2_pathway_support),
+g AS (SELECT d, e, v.s, v.t, count(*) AS votes, coalesce(avg(c) FILTER (WHERE k <> 'fingerprint'), 0) AS base, coalesce(max(c) FILTER (WHERE k = 'fingerprint'), 0) AS sim FROM v WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.s = v.s AND l.t = v.t AND NOT (v.d = v.s AND v.e = v.t)) GROUP BY 1, 2, 3, 4),
+y AS MATERIALIZED (SELECT g.*, round(1e-9 + least(1.0::DOUBLE, (base + least(0.25::DOUBLE, 0.04::DOUBLE * coalesce(p.total, 0)) + least(0.1::DOUBLE, 0.06::DOUBLE * sim)) * CASE WHEN coalesce(p.chains, 0) > 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END), 6) AS score
+  FROM g LEFT JOIN n_d1_composition p ON p.source = g.s AND p.target = g.t),
+u AS (SELECT count(*) AS n FROM n_objects a, n_objects b WHERE a.type_name = 'Drug' AND b.type_name = 'Disease' AND NOT EXISTS (SELECT 1 FROM l WHERE l.s = a.name AND l.t = b.name)),
+h AS MATERIALIZED (SELECT l.s, l.t, coalesce(y.score, 0) AS score, coalesce(y.votes, 0) AS votes FROM l LEFT JOIN y ON y.d = l.s AND y.e = l.t AND y.s = l.s AND y.t = l.t)"""
+
 ORACLES: dict[str, str] = {
     "e2_score_breakdown": f"{head(*NODES.values())}, {_BREAKDOWN}",
     "m7_strategy_votes": f"{head(*NODES.values())} {_VOTES}",
@@ -74,4 +116,9 @@ ORACLES: dict[str, str] = {
     "g10_quarantine": texts.ORACLES["g8_relation_gate"].replace("SELECT id, v.verdict,", "SELECT s AS subject, r AS relation, count(*) FILTER (WHERE verdict = 'AGREE') AS recalled, count(*) FILTER (WHERE verdict = 'HOLLOW') AS quarantined FROM (SELECT s, r, v.verdict,", 1).replace("FROM (SELECT id, CASE", "FROM (SELECT s, r, CASE", 1) + ") g WHERE verdict <> 'REJECT' GROUP BY s, r",
     "m10_next_steps": f"""{head('stream', 'l1_transitions')}, t AS (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS w FROM n_l1_transitions)
 SELECT entity AS item, target AS successor, round(sum(weight * w), 5) AS score FROM n_stream e JOIN t ON t.source = e.source GROUP BY 1, 2""",
+    "f8_all_votes": f"""{head('typed', 'objects', 'vote_prints', 'd1_composition', 'd2_pathway_support')}, {_FOLDS}
+SELECT h.s AS source, h.t AS target, h.score, h.votes, count(y.s) FILTER (WHERE y.score < h.score) + CASE WHEN h.score > 0 THEN max(u.n) - count(y.s) ELSE 0 END AS concordant, count(y.s) FILTER (WHERE y.score > h.score) AS discordant,
+count(y.s) FILTER (WHERE y.score = h.score) + CASE WHEN h.score = 0 THEN max(u.n) - count(y.s) ELSE 0 END AS tied FROM h CROSS JOIN u LEFT JOIN y ON y.d = h.s AND y.e = h.t AND NOT (y.s = h.s AND y.t = h.t) GROUP BY h.s, h.t, h.score, h.votes""",
+    "f8_fold_ranking": f"""{head('typed', 'objects', 'vote_prints', 'd1_composition', 'd2_pathway_support')}, {_FOLDS}
+SELECT s AS source, t AS target, score, true AS label FROM h UNION ALL SELECT s, t, round(1e-9 + sum(score) / (SELECT count(*) FROM l), 6), false FROM y WHERE NOT (d = s AND e = t) GROUP BY s, t""",
 }
