@@ -118,17 +118,23 @@ def rounded(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
+def every_vote(typed: DataFrame, objects: DataFrame, prints: DataFrame, fixed: DataFrame, labels: DataFrame) -> DataFrame:
+    """source, target, strategy, confidence: the fixed votes and those that labels give."""
+    overlaps = votes.overlaps(typed)
+    whole = {"analog": votes.analog(overlaps, labels), "pattern": votes.pattern(overlaps, labels), "fiber_lift": votes.fiber_lift(labels, objects), "fingerprint": votes.weighted_similarity(prints, labels)}
+    every = fixed.select("source", "target", "strategy", "confidence")
+    for name in TOUCHED:
+        every = every.unionByName(whole[name].select("source", "target", F.lit(name).alias("strategy"), "confidence"))
+    return every
+
+
 def fold_scores(typed: DataFrame, objects: DataFrame, prints: DataFrame, fixed: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """typed edges, objects, fingerprints of drugs, votes that no label touches (source, target, strategy,
     confidence), paths (source, target, chains, total) -> labels; the negatives' scores with all labels
     (source, target, score; no row: 0); each fold's scores of its touched pairs (d, e, source, target,
     score, votes), the held one among them if it has any vote."""
     labels = _kept(positives(typed), "labels")
-    overlaps = votes.overlaps(typed)
-    whole = {"analog": votes.analog(overlaps, labels), "pattern": votes.pattern(overlaps, labels), "fiber_lift": votes.fiber_lift(labels, objects), "fingerprint": votes.weighted_similarity(prints, labels)}
-    every = fixed.select("source", "target", "strategy", "confidence")
-    for name in TOUCHED:
-        every = every.unionByName(whole[name].select("source", "target", F.lit(name).alias("strategy"), "confidence"))
+    every = every_vote(typed, objects, prints, fixed, labels)
     every = _kept(every, "votes")
     pair = [F.col("source_name").alias("source"), F.col("target_name").alias("target")]
     base = rounded(scoring.score_breakdown(every, paths)).select("source", "target", "score").join(labels.select(*pair), ["source", "target"], "left_anti")
@@ -172,3 +178,52 @@ def leave_one_out(typed: DataFrame, objects: DataFrame, prints: DataFrame, fixed
     scores 0. No labels: no folds, and a ranking without rows."""
     labels, base, touched = fold_scores(typed, objects, prints, fixed, paths)
     return results(base, touched, every=universe(objects, labels)), averaged(labels, base, touched)
+
+
+outcome = Relation(
+    """WITH levels AS (SELECT score, sum(p) AS p, sum(n) AS n FROM (SELECT score, count(*) FILTER (WHERE label) AS p, count(*) FILTER (WHERE NOT label) AS n FROM {ranking} GROUP BY score
+  UNION ALL SELECT 0.0 AS score, 0 AS p, :every - count(*) FILTER (WHERE NOT label) AS n FROM {ranking}) x GROUP BY score),
+c AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM levels),
+t AS (SELECT coalesce(sum(p), 0) AS held, coalesce(sum(n), 0) AS negatives, coalesce(sum(p * below), 0) AS concordant, coalesce(sum(p * n), 0) AS tied FROM c)
+SELECT CAST(held AS BIGINT) AS held, CAST(negatives AS BIGINT) AS negatives, CAST(concordant AS BIGINT) AS concordant, CAST(held * negatives - concordant - tied AS BIGINT) AS discordant, CAST(tied AS BIGINT) AS tied,
+CASE WHEN held = 0 OR negatives = 0 THEN 0.5 ELSE round((concordant + tied / 2.0) / (CAST(held AS DOUBLE) * negatives), 6) END AS auroc FROM t""",
+    ("ranking",), {"every": 0}, "a ranking's labels against all negatives; those without a row have 0",
+)
+
+
+def held_after(labels: DataFrame, years: DataFrame, cutoff: int = 2013, include: bool = False) -> DataFrame:
+    """source, target of the labels (source_name, target_name) later than a year, or of it too, by a
+    table of years (source, target, year). A label without a year is an error, as it could be on either side;
+    of several years the first holds."""
+    first = years.dropna().groupBy("source", "target").agg(F.min("year").alias("year"))
+    rows = labels.select(F.col("source_name").alias("source"), F.col("target_name").alias("target")).distinct().join(first, ["source", "target"], "left")
+    if missing := rows.filter("year IS NULL").count():
+        raise ValueError(f"{missing} labels have no year")
+    return rows.filter(F.col("year") >= cutoff if include else F.col("year") > cutoff).select("source", "target")
+
+
+def held_out(typed: DataFrame, objects: DataFrame, prints: DataFrame, fixed: DataFrame, paths: DataFrame, held: DataFrame) -> DataFrame:
+    """source, target, score, votes, label of the pairs that are no label of the training part, scored
+    by all votes of typed without the held labels (source, target). A held label without any vote has 0;
+    other pairs without one have no row. Pairs of held that are no labels change nothing."""
+    known = positives(typed).select(F.col("source_name").alias("source"), F.col("target_name").alias("target"))
+    held = held.select("source", "target").distinct().join(known, ["source", "target"], "left_semi")
+    gone = held.select(F.col("source").alias("source_name"), F.col("target").alias("target_name"), F.lit("treats").alias("name"))
+    train = _kept(typed.join(gone, ["source_name", "target_name", "name"], "left_anti"), "train")
+    labels = _kept(positives(train), "labels")
+    rows = rounded(scoring.score_breakdown(every_vote(train, objects, prints, fixed, labels), paths)).select("source", "target", "score", "votes")
+    rows = rows.join(labels.select(F.col("source_name").alias("source"), F.col("target_name").alias("target")), ["source", "target"], "left_anti")
+    rows = rows.join(held.withColumn("label", F.lit(True)), ["source", "target"], "full")
+    return _kept(rows.fillna({"score": 0.0, "votes": 0, "label": False}), "held-out")
+
+
+def fold_recall(labels: DataFrame, predicted: DataFrame, folds: int = 5) -> DataFrame:
+    """labels (source_name, target_name) in folds by a hash of their names, and the share of each fold
+    that was predicted (source, target), with mean and standard deviation over folds. A fold that no label
+    falls into has no row and does not count. No labels: no rows."""
+    named = F.concat_ws("|", "source_name", "target_name")
+    rows = labels.select("source_name", "target_name").distinct().withColumn("fold", (F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long") % folds))
+    hits = rows.join(predicted.select(F.col("source").alias("source_name"), F.col("target").alias("target_name"), F.lit(1).alias("hit")).distinct(), ["source_name", "target_name"], "left")
+    by = hits.groupBy("fold").agg(F.count("*").alias("labels"), F.count("hit").alias("found")).withColumn("recall", F.col("found") / F.col("labels"))
+    spread = by.agg(F.avg("recall").alias("mean_recall"), F.stddev_pop("recall").alias("std_recall"))
+    return by.crossJoin(F.broadcast(spread)).select("fold", "labels", "found", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("recall", "mean_recall", "std_recall")])

@@ -73,9 +73,40 @@ def fold_ranking_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leave_one_out(spark, sf_dir)[1]
 
 
+#: The held labels of F9 are those of drugs born later; the tables have no other years of labels.
+CUTOFF = 1950
+
+
+def _temporal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    made: dict[str, DataFrame] = {}
+    node = lambda name: frame(spark, sf_dir, name, made)
+    typed, fixed = node("typed"), registry.votes_of(["composition", "pathway_support"], node)
+    labels = holdout.positives(typed)
+    years = labels.join(node("objects"), F.col("source_name") == F.col("name")).select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), F.col("birth").alias("year"))
+    ranking = holdout.held_out(typed, node("objects"), node("vote_prints"), fixed, node("d1_composition"), holdout.held_after(labels, years, CUTOFF))
+    return ranking, holdout.universe(node("objects"), labels)
+
+
+def temporal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the pairs that no older label covers, scored by all votes without the later labels."""
+    return _temporal(spark, sf_dir)[0]
+
+
+def temporal_outcome_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the later labels against all negatives."""
+    ranking, every = _temporal(spark, sf_dir)
+    return holdout.outcome(ranking, every=every)
+
+
+def fold_recall_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the labels' folds, and how many of them have a strong composition."""
+    return holdout.fold_recall(frame(spark, sf_dir, "labels_"), frame(spark, sf_dir, "d1_composition").filter("confidence >= 0.8"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e2_score_breakdown": breakdown_query, "m7_strategy_votes": votes_query, "m8_metric_by_fold": metric_query, "g10_quarantine": quarantine_query, "m10_next_steps": successors_query,
     "f8_all_votes": folds_query, "f8_fold_ranking": fold_ranking_query,
+    "f9_held_out": temporal_query, "f9_held_out_outcome": temporal_outcome_query, "f18_fold_spread": fold_recall_query,
 }
 
 _VOTES = " UNION ALL ".join(f"SELECT source, target, '{name}' AS strategy, confidence::DOUBLE AS confidence FROM n_{node}" for name, node in NODES.items())
@@ -121,4 +152,19 @@ SELECT h.s AS source, h.t AS target, h.score, h.votes, count(y.s) FILTER (WHERE
 count(y.s) FILTER (WHERE y.score = h.score) + CASE WHEN h.score = 0 THEN max(u.n) - count(y.s) ELSE 0 END AS tied FROM h CROSS JOIN u LEFT JOIN y ON y.d = h.s AND y.e = h.t AND NOT (y.s = h.s AND y.t = h.t) GROUP BY h.s, h.t, h.score, h.votes""",
     "f8_fold_ranking": f"""{head('typed', 'objects', 'vote_prints', 'd1_composition', 'd2_pathway_support')}, {_FOLDS}
 SELECT s AS source, t AS target, score, true AS label FROM h UNION ALL SELECT s, t, round(1e-9 + sum(score) / (SELECT count(*) FROM l), 6), false FROM y WHERE NOT (d = s AND e = t) GROUP BY s, t""",
+    "f18_fold_spread": f"""{head('labels_', 'd1_composition')}, f AS (SELECT DISTINCT source_name AS s, target_name AS t, ('0x' || md5(source_name || '|' || target_name)[1:8])::BIGINT % 5 AS fold FROM n_labels_),
+r AS (SELECT fold, count(*) AS labels, count(p.source) AS found FROM f LEFT JOIN n_d1_composition p ON p.source = s AND p.target = t AND p.confidence >= 0.8 GROUP BY fold)
+SELECT fold, labels, found, round(1e-9 + found / labels, 6) AS recall, round(1e-9 + avg(found / labels) OVER (), 6) AS mean_recall, round(1e-9 + stddev_pop(found / labels) OVER (), 6) AS std_recall FROM r""",
 }
+#: F9 is F8's statement with one fold, named like no pair, in which only the older labels are left.
+_LATER = _FOLDS.replace("lf AS MATERIALIZED (SELECT f.s AS d, f.t AS e, l.* FROM l f, l WHERE NOT (f.s = l.s AND f.t = l.t))", f"""lf AS MATERIALIZED (SELECT 1 AS d, 1 AS e, l.* FROM l JOIN n_objects b ON b.name = l.s WHERE b.birth <= {CUTOFF})""").replace("SELECT f.s AS d, f.t AS e, rt.a", "SELECT f.d, f.e, rt.a").replace("FROM l f CROSS JOIN rt", "FROM (SELECT 1 AS d, 1 AS e) f CROSS JOIN rt").replace("lt.d = f.s AND lt.e = f.t", "lt.d = f.d").replace("ka.d = f.s AND ka.e = f.t", "ka.d = f.d").replace("kb.d = f.s AND kb.e = f.t", "kb.d = f.d")
+_LATER = _LATER.replace("SELECT l.s, l.t, source, target, 'composition', confidence::DOUBLE FROM l, n_d1", "SELECT 1, 1, source, target, 'composition', confidence::DOUBLE FROM n_d1").replace("SELECT l.s, l.t, source, target, 'pathway_support', confidence::DOUBLE FROM l, n_d2", "SELECT 1, 1, source, target, 'pathway_support', confidence::DOUBLE FROM n_d2")
+_LATER = _LATER.replace("NOT EXISTS (SELECT 1 FROM l WHERE l.s = v.s AND l.t = v.t AND NOT (v.d = v.s AND v.e = v.t))", "NOT EXISTS (SELECT 1 FROM lf WHERE lf.s = v.s AND lf.t = v.t)")
+_LATER = _LATER[: _LATER.index(",\nh AS MATERIALIZED")] + """, held AS (SELECT s, t FROM l EXCEPT SELECT s, t FROM lf),
+w AS MATERIALIZED (SELECT coalesce(y.s, held.s) AS source, coalesce(y.t, held.t) AS target, coalesce(score, 0) AS score, coalesce(votes, 0) AS votes, held.s IS NOT NULL AS label FROM y FULL JOIN held ON held.s = y.s AND held.t = y.t)"""
+_NODES = head("typed", "objects", "vote_prints", "d1_composition", "d2_pathway_support")
+ORACLES["f9_held_out"] = f"{_NODES}, {_LATER} SELECT * FROM w"
+ORACLES["f9_held_out_outcome"] = f"""{_NODES}, {_LATER}, x AS (SELECT max(u.n) AS every, count(*) FILTER (WHERE NOT label) AS seen, count(*) FILTER (WHERE label) AS held FROM w, u),
+c AS (SELECT count(*) FILTER (WHERE b.score < a.score) AS less, count(*) FILTER (WHERE b.score = a.score) AS same FROM w a, w b WHERE a.label AND NOT b.label), z0 AS (SELECT count(*) FILTER (WHERE score > 0) AS pos, count(*) FILTER (WHERE score = 0) AS zero FROM w WHERE label)
+SELECT held, every AS negatives, less + pos * (every - seen) AS concordant, held * every - less - pos * (every - seen) - same - zero * (every - seen) AS discordant, same + zero * (every - seen) AS tied,
+CASE WHEN held * every = 0 THEN 0.5 ELSE round(1e-11 + (less + pos * (every - seen) + (same + zero * (every - seen)) / 2.0) / (held * every), 6) END AS auroc FROM x, c, z0"""

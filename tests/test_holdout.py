@@ -64,3 +64,40 @@ def test_folds_equal_the_plain_loop(spark):
 def test_without_labels_there_are_no_folds(spark):
     results, ranking = holdout.leave_one_out(*inputs(spark, [r for r in edges() if r[0] != "treats"]))
     assert results.count() == 0 and ranking.filter("label").count() == 0
+
+
+def test_later_labels_are_held_out_together(spark):
+    rows = edges()
+    labels = holdout.positives(spark.createDataFrame(rows, EDGE))
+    years = [("d0", "e0", 2010), ("d0", "e1", 2014), ("d1", "e0", 2013), ("d2", "e2", 2020), ("d3", "e0", 2001), ("d3", "e0", 2019), ("alone", "e2", 2014), ("no", "label", 2030)]
+    table = spark.createDataFrame(years, "source string, target string, year int")
+    held = holdout.held_after(labels, table)
+    later = {("d0", "e1"), ("d2", "e2"), ("alone", "e2")}
+    assert {tuple(r) for r in held.collect()} == later
+    assert {tuple(r) for r in holdout.held_after(labels, table, include=True).collect()} == later | {("d1", "e0")}
+    with pytest.raises(ValueError, match="1 labels"):
+        holdout.held_after(labels, table.filter("target <> 'e1'"))
+    got = {(r.source, r.target): r for r in holdout.held_out(*inputs(spark, rows), held).collect()}
+    left = {r[1:3] for r in rows if r[0] == "treats"} - later
+    plain = plain_scores(*inputs(spark, [r for r in rows if not (r[0] == "treats" and r[1:3] in later)]))
+    assert {x: (r.score, r.votes) for x, r in got.items()} == {x: v for x, v in plain.items() if x not in left} | {x: plain.get(x, (0.0, 0)) for x in later}
+    assert {x for x, r in got.items() if r.label} == later
+
+
+def test_outcome_counts_pairs_without_a_row(spark):
+    ranking = spark.createDataFrame([("a", "x", 0.5, True), ("b", "x", 0.0, True), ("c", "x", 0.5, False), ("d", "x", 0.7, False)], "source string, target string, score double, label boolean")
+    r = holdout.outcome(ranking, every=5).first()
+    assert (r.held, r.negatives, r.concordant, r.discordant, r.tied) == (2, 5, 3, 3, 4) and r.auroc == 0.5
+    r = holdout.outcome(ranking.limit(0), every=0).first()
+    assert (r.held, r.negatives, r.auroc) == (0, 0, 0.5)
+
+
+def test_recall_of_folds_has_mean_and_deviation(spark):
+    labels = spark.createDataFrame([(f"d{i}", f"e{i % 7}") for i in range(40)] * 2, "source_name string, target_name string")
+    predicted = spark.createDataFrame([(f"d{i}", f"e{i % 7}") for i in range(0, 40, 3)] * 2 + [("d1", "e0")], "source string, target string")
+    got = holdout.fold_recall(labels, predicted).collect()
+    assert sum(r.labels for r in got) == 40 and sum(r.found for r in got) == 14
+    shares = [r.found / r.labels for r in got]
+    mean = sum(shares) / len(shares)
+    assert all(abs(r.mean_recall - mean) < 1e-6 and abs(r.std_recall - (sum((x - mean) ** 2 for x in shares) / len(shares)) ** 0.5) < 1e-6 for r in got)
+    assert holdout.fold_recall(labels.limit(0), predicted).count() == 0
