@@ -280,3 +280,18 @@ def test_records_and_signed_networks(spark, tmp_path):
     lines = ["a\tb\ts\tt\td\tp\tm", "1\t2\tA\tB\tTrue\tTrue\tFalse", "1\t2\t\tC\tTrue\tFalse\tTrue", "1\t2\tA\tD\tTrue\tTrue\tTrue", "1\t2\tA\tE\tFalse\tTrue\tFalse", "1\t2\tA"]
     (tmp_path / "n.tsv").write_text("\n".join(lines))
     assert {tuple(r) for r in works.load_signed_edges(spark, str(tmp_path / "n.tsv")).collect()} == {("A", "B", 1), ("1", "C", -1)}
+
+
+@pytest.mark.parametrize("make", [votes.composition, votes.pathway_support, more.parallel_paths, paths.semiring_weights, lambda v: paths.horn_counts(paths.inner_horns(v, v)), lambda v: more.retrodiction(paths.inner_horns(v, v)), lambda v: more.sheet_check(paths.inner_horns(v, v))])
+def test_chains_are_grouped_where_they_are_made(spark, small, make):
+    """A pair's chains are never moved: no shuffle comes after the lists of edges are opened."""
+    text = make(small)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in text and "Exchange hashpartitioning" not in text.split("Generate explode")[0]
+
+
+def test_chains_keep_parallel_edges_and_labels(spark, small):
+    rows = [("A", "binds", "P", 0.4, "Drug", "Kinase"), ("P", "marks", "D", 0.1, "Kinase", "Disease"), ("P", "marks", "E", 0.3, "Kinase", "Disease")]
+    labels = spark.createDataFrame([("A", "E", 1.0), ("B", "D", 1.0)], "source_name string, target_name string, confidence double")
+    got = paths.inner_horns(small.unionByName(edges(spark, rows)), labels).select("a", "b", "c", "f_name", "g_name", "composite", "treated", "b_ends").collect()
+    want = [("A", "P", c, f, g, round(x * y, 4), c == "E", 2) for f, x in (("inhibits", 0.9), ("binds", 0.4)) for c, g, y in (("D", "driver_of", 0.8), ("D", "marks", 0.1), ("E", "marks", 0.3))]
+    assert sorted(map(tuple, got)) == sorted([*want, ("A", "Q", "D", "binds", "driver_of", 0.1, False, 1)])
