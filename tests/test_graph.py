@@ -295,3 +295,32 @@ def test_chains_keep_parallel_edges_and_labels(spark, small):
     got = paths.inner_horns(small.unionByName(edges(spark, rows)), labels).select("a", "b", "c", "f_name", "g_name", "composite", "treated", "b_ends").collect()
     want = [("A", "P", c, f, g, round(x * y, 4), c == "E", 2) for f, x in (("inhibits", 0.9), ("binds", 0.4)) for c, g, y in (("D", "driver_of", 0.8), ("D", "marks", 0.1), ("E", "marks", 0.3))]
     assert sorted(map(tuple, got)) == sorted([*want, ("A", "Q", "D", "binds", "driver_of", 0.1, False, 1)])
+
+
+def test_meetings_of_drugs_are_added_up_where_they_are_made(spark, small):
+    prints = votes.fingerprints(small)
+    labels = spark.createDataFrame([("A", "D", 1.0)], "source_name string, target_name string, confidence double")
+    assert "Generate explode" in votes.weighted_similarity(prints, labels)._jdf.queryExecution().executedPlan().toString()
+    text = votes.meetings(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in text.split("Generate explode")[0]
+
+
+def test_decomposable_without_all_two_edge_paths(spark):
+    names = [("A", "B"), ("B", "C"), ("A", "C"), ("C", "C"), ("D", "E"), ("E", "D"), ("D", "D")]
+    rows = edges(spark, [(a, "interacts_with", b, 0.5, "Kinase", "Kinase") for a, b in names])
+    found = votes.decomposable(rows)
+    got = {r.id.split(":")[1]: r.decomposes for r in found.collect()}
+    # a middle node that is one of the ends does not count; a loop has the other node between its ends
+    assert got == {"A->B": False, "B->C": False, "A->C": True, "C->C": False, "D->E": False, "E->D": False, "D->D": True}
+    assert "array_intersect" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_analog_votes_without_pairs_of_drugs(spark):
+    rng = random.Random(7)
+    drugs, parts_, ends = [f"S{i}" for i in range(12)], [f"P{i}" for i in range(6)], ["N0", "N1", "N2"]
+    rows = {(d, rng.choice(["binds", "blocks", "marks"]), rng.choice(parts_), 0.5, "Drug", "Kinase") for d in drugs for _ in range(rng.randrange(4))}
+    typed = edges(spark, sorted(rows | {(d, "treats", rng.choice(ends), 1.0, "Drug", "Disease") for d in drugs[:8]} | {("S1", "treats", "N0", 1.0, "Drug", "Disease")}))
+    labels = typed.filter("name = 'treats'").select("source_name", "target_name", "confidence")
+    got = votes.analog_by_counts(typed, labels)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, votes.analog(votes.overlaps(typed), labels).collect()))
+    assert catalog.OTHERWISE["d4_analog"][0] is votes.analog_by_counts
