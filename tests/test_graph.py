@@ -324,3 +324,12 @@ def test_analog_votes_without_pairs_of_drugs(spark):
     got = votes.analog_by_counts(typed, labels)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, votes.analog(votes.overlaps(typed), labels).collect()))
     assert catalog.OTHERWISE["d4_analog"][0] is votes.analog_by_counts
+
+
+def test_fiber_votes_by_best_labels(spark):
+    objects = spark.createDataFrame([("A", "Drug", "x"), ("B", "Drug", "x"), ("C", "Drug", "x"), ("D", "Drug", "y"), ("P", "Kinase", "x")], "name string, type_name string, sector string")
+    labels = spark.createDataFrame([("A", "N", 0.5), ("B", "N", 0.7), ("C", "M", 1.0), ("D", "K", 1.0), ("Z", "N", 1.0)], "source_name string, target_name string, confidence double")
+    rows = votes.fiber_lift(labels, objects)
+    assert sorted(map(tuple, rows.collect())) == [("A", "M", 0.7), ("B", "M", 0.7), ("C", "N", 0.56)]
+    # labels are grouped before they meet drugs: no join compares a drug with each label of its fiber
+    assert "NOT (" not in rows._jdf.queryExecution().optimizedPlan().toString()
