@@ -19,10 +19,10 @@ def poisson(n: pd.Series, seed: pd.Series) -> pd.Series:
 
 def bootstrap_auroc(scores: DataFrame, replicates: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """One row: replicates, mean, low, high; replicates with one class are left out."""
-    counts = scores.groupBy("score", "label").agg(F.count("*").alias("n"))
+    # both classes of a score are one row, so that a replicate's rows are moved once, to their order
+    counts = scores.groupBy("score").agg(F.count_if("label").alias("_p"), F.count_if(~F.col("label")).alias("_q"))
     draws = counts.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    draws = draws.withColumn("w", poisson("n", F.xxhash64(F.lit(seed), "r", "score", "label")))
-    each = draws.groupBy("r", "score").agg(F.sum(F.when(F.col("label"), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label"), 0).otherwise(F.col("w"))).alias("q"))
+    each = draws.select("r", "score", *[poisson(f"_{n}", F.xxhash64(F.lit(seed), "r", "score", F.lit(label))).alias(n) for n, label in (("p", True), ("q", False))])
     below = F.coalesce(F.sum("q").over(W.partitionBy("r").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     each = each.withColumn("won", F.col("p") * (below + F.col("q") / 2))
     auroc = each.groupBy("r").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q")).filter("p > 0 and q > 0")

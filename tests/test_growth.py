@@ -1,6 +1,6 @@
 """What large queries must not move or sort: held against plans and plain loops on small inputs."""
 
-from graphev.operators import views
+from graphev.operators import resample, views
 
 EDGE = "id string, name string, source_name string, target_name string, source_type string, target_type string, confidence double, created_at timestamp"
 
@@ -19,3 +19,13 @@ def test_last_edges_are_dealt_before_they_are_sorted(spark):
     want = {(r[2], r[3]): max((str(x[7]) + x[0], x[6], x[1]) for x in rows if x[2:4] == r[2:4])[1:] for r in rows}
     assert {(r.source_name, r.target_name): (r.confidence, r.name) for r in found.collect()} == want
     assert plan.rindex("Aggregate") < plan.index("Exchange"), plan  # no aggregate, so no sort, below the exchange
+
+
+def test_a_bootstrap_moves_its_replicates_once(spark):
+    scores = spark.createDataFrame([(i % 7 / 10, i % 3 == 0) for i in range(50)], "score double, label boolean")
+    row = resample.bootstrap_auroc(scores, 20)
+    plan = plan_of(row)
+    again = resample.bootstrap_auroc(scores.repartition(3), 20).first()
+    assert row.first() == again and again.replicates == 20 and again.low <= again.mean <= again.high
+    assert plan.count("hashpartitioning(r") == 1 and "hashpartitioning(score" in plan
+    assert resample.bootstrap_auroc(scores.filter("label"), 20).first().replicates == 0
