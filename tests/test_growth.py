@@ -1,12 +1,10 @@
 """What large queries must not move or sort: held against plans and plain loops on small inputs."""
 
-from graphev.operators import resample, views
-
-EDGE = "id string, name string, source_name string, target_name string, source_type string, target_type string, confidence double, created_at timestamp"
+import re
 
+from graphev.operators import resample, vectors, views
 
-def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+EDGE = "id string, name string, source_name string, target_name string, source_type string, target_type string, confidence double, created_at timestamp"
 
 
 def test_last_edges_are_dealt_before_they_are_sorted(spark):
@@ -29,3 +27,16 @@ def test_a_bootstrap_moves_its_replicates_once(spark):
     assert row.first() == again and again.replicates == 20 and again.low <= again.mean <= again.high
     assert plan.count("hashpartitioning(r") == 1 and "hashpartitioning(score" in plan
     assert resample.bootstrap_auroc(scores.filter("label"), 20).first().replicates == 0
+
+
+def test_family_classes_do_not_pair_what_is_asked_with_targets(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.4), (2, 2, 1.0)], "query_id long, vec_id long, similarity double")
+    targets = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("a", 9), ("b", 8)], "drug string, node long")
+    labels = spark.createDataFrame([("b", "x"), ("c", "x"), ("b", "y")], "drug string, disease string")
+    asked = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("a", "z"), ("c", "y")], "drug string, disease string")
+    found = vectors.family_classes(pairs, targets, labels, asked, 0.8, 0.3)
+    got = {(r.drug, r.disease): (r["class"], r.similarity) for r in found.collect()}
+    assert got == {("a", "x"): ("Family Extrapolation", 0.9), ("b", "x"): ("Cross-Family Novel", 0.0), ("b", "y"): ("No Reference", 0.0), ("a", "z"): ("No Reference", 0.0), ("c", "y"): ("Cross-Family Novel", 0.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # no join on the drug alone but that of targets and labels: asked pairs wait until targets are grouped
+    assert len(re.findall(r"Inner, \(drug#\d+ = drug#\d+\)", plan)) == 1, plan
