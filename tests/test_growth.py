@@ -2,7 +2,7 @@
 
 import re
 
-from graphev.operators import resample, vectors, views
+from graphev.operators import more, resample, vectors, views
 
 EDGE = "id string, name string, source_name string, target_name string, source_type string, target_type string, confidence double, created_at timestamp"
 
@@ -29,6 +29,32 @@ def test_a_bootstrap_moves_its_replicates_once(spark):
     assert resample.bootstrap_auroc(scores.filter("label"), 20).first().replicates == 0
 
 
+LAST = "source_name string, target_name string, source_type string, target_type string, confidence double, name string"
+
+
+def graph(spark):
+    import random
+
+    rng = random.Random(7)
+    kinds = {"d": "Drug", "p": "Protein", "e": "Disease"}
+    ends = [(f"{s}{i}", f"{t}{j}") for s, n, t, m in (("d", 4, "p", 7), ("p", 7, "p", 7), ("p", 7, "e", 3), ("e", 3, "p", 7)) for i in range(n) for j in range(m) if rng.random() < 0.4]
+    rows = [(a, b, kinds[a[0]], kinds[b[0]], round(rng.uniform(0.1, 1), 4), "interacts_with") for a, b in ends]
+    return rows, spark.createDataFrame(rows, LAST)
+
+
+def test_peers_are_counted_by_lists(spark):
+    rows, last = graph(spark)
+    found = more.peer_layer(last)
+    plan = plan_of(found)
+    to = {a: {r[1] for r in rows if r[0] == a and r[3] == "Disease"} for a in {r[0] for r in rows}}
+    want = {}
+    for a, b, _, kind, *_ in rows:
+        for e in to[a] & to.get(b, set()) if kind not in ("Drug", "Disease") else ():
+            want[a, e] = want.get((a, e), 0) + 1
+    assert {(r.protein, r.disease): (r.peers, r.score) for r in found.collect()} == {k: (n, round(min(1, 0.3 * n), 6)) for k, n in want.items()}
+    assert "array_intersect" in plan
+
+
 def test_family_classes_do_not_pair_what_is_asked_with_targets(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.4), (2, 2, 1.0)], "query_id long, vec_id long, similarity double")
     targets = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("a", 9), ("b", 8)], "drug string, node long")
