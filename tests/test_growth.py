@@ -2,7 +2,7 @@
 
 import re
 
-from graphev.operators import more, resample, vectors, views
+from graphev.operators import more, paths, resample, vectors, views
 
 EDGE = "id string, name string, source_name string, target_name string, source_type string, target_type string, confidence double, created_at timestamp"
 
@@ -42,6 +42,16 @@ def graph(spark):
     return rows, spark.createDataFrame(rows, LAST)
 
 
+def test_paths_are_counted_without_being_made(spark):
+    rows, last = graph(spark)
+    found = paths.path_counts_by_steps(last)
+    plan = plan_of(found)
+    want = sorted(tuple(r) for r in paths.path_counts(paths.walks(last)).collect())
+    assert any(r[2] == 3 and r[3] > 1 for r in want) and any(r[0] == r[1] for r in rows)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "sum(" in plan and paths.path_counts_by_steps(last.limit(0)).count() == 0
+
+
 def test_peers_are_counted_by_lists(spark):
     rows, last = graph(spark)
     found = more.peer_layer(last)
