@@ -2,7 +2,7 @@
 
 import re
 
-from graphev.operators import more, paths, resample, vectors, views
+from graphev.operators import more, paths, resample, vectors, views, votes
 
 EDGE = "id string, name string, source_name string, target_name string, source_type string, target_type string, confidence double, created_at timestamp"
 
@@ -76,3 +76,12 @@ def test_family_classes_do_not_pair_what_is_asked_with_targets(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # no join on the drug alone but that of targets and labels: asked pairs wait until targets are grouped
     assert len(re.findall(r"Inner, \(drug#\d+ = drug#\d+\)", plan)) == 1, plan
+
+
+def test_analogs_are_grouped_by_drug_and_code_only(spark):
+    typed = spark.createDataFrame([("inhibits", "d1", "p1", "Drug"), ("inhibits", "d2", "p1", "Drug"), ("treats", "d2", "e1", "Drug")], "name string, source_name string, target_name string, source_type string")
+    labels = spark.createDataFrame([("d2", "e1")], "source_name string, target_name string")
+    found = votes.analogs(typed, labels)
+    plan = plan_of(found)
+    assert [tuple(r) for r in found.select("a", "t", "analogs", "relations", "targets").collect()] == [("d1", "e1", 1, 1, 1)]
+    assert not any("keys=[a#" in line and "own#" in line for line in plan.split("\n"))
