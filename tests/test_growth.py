@@ -7,6 +7,10 @@ from graphev.operators import more, paths, resample, vectors, views, votes
 EDGE = "id string, name string, source_name string, target_name string, source_type string, target_type string, confidence double, created_at timestamp"
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_last_edges_are_dealt_before_they_are_sorted(spark):
     import datetime as dt
 
