@@ -139,6 +139,8 @@ CLASS = "class struct<c0:bigint,c1:bigint>"
 SAMPLED, COMMON, COMMON_MOST = 20_000, 5, 50_000
 LOW = -(1 << 63) + 3 * (1 << 64) // 10
 SEEN_MOST = 1 << 18
+#: From this number of texts on, those that share a shingle of their prefixes meet with their whole sketches.
+HOT = 32
 
 
 def shingle_numbers(text: bytes) -> np.ndarray:
@@ -242,24 +244,41 @@ def rest_pairs(shared: DataFrame, facts: DataFrame, similarity: float) -> DataFr
     and groups go by 64-bit hashes: texts with equal ones are both found again at the end.
 
     Sizes are part of the join key, in steps of 1 / similarity: similar texts are at most one step
-    apart, and texts with a frequent shingle are dealt by their size."""
+    apart, and texts with a frequent shingle are dealt by their size. Shingles of HOT texts or more
+    bring the texts' whole sketches, so that of a large group of texts that are near but not alike no
+    pair leaves the join; a pair is looked at where it first shares such a shingle, and not again
+    where both texts had the same one before."""
     of = W.partitionBy("s")
     light = facts.select("class.c0", F.xxhash64("root").alias("root"), "n", "p", "q")
-    named = shared.join(light.hint("merge"), "c0").withColumns({"x": F.min("root").over(of), "y": F.max("root").over(of)}).filter("x <> y").drop("x", "y")
+    named = shared.join(light.hint("merge"), "c0").withColumns({"x": F.min("root").over(of), "y": F.max("root").over(of), "texts": F.count("*").over(of)}).filter("x <> y").drop("x", "y")
     named = saved(named.withColumn("step", F.floor(F.log("n") / F.lit(float(-np.log(similarity))) + 1e-9)))
-    x, y = (named.select("s", *[F.col(c).alias(c + e) for c in ("c0", "root", "i", "n", "p", "q", "step")]) for e in "xy")
-    x = x.withColumn("stepy", F.explode(F.array("stepx", F.col("stepx") + 1)))
-    found = x.join(y, ["s", "stepy"]).filter("rootx <> rooty and (stepx < stepy or c0x < c0y)")
-    most = F.least("ix", "iy") + 1 + F.least(F.expr("nx - ix - 1"), F.expr("ny - iy - 1"))
-    found = found.filter(most >= similarity * (F.col("nx") + F.col("ny") - most) - 1e-6)
-    found = found.filter(F.expr("bit_count(px ^ py) + bit_count(qx ^ qy)") <= most_apart(F.col("nx"), F.col("ny"), similarity))
-    found = found.select(F.least("c0x", "c0y").alias("a0"), F.greatest("c0x", "c0y").alias("b0")).distinct()
+    found = sharing(named.filter(F.col("texts") < HOT), similarity).unionByName(sharing_often(named.filter(F.col("texts") >= HOT), facts, similarity))
+    found = found.distinct()
     for c in "ab":
         ends = facts.select(F.col("class.c0").alias(f"{c}0"), F.col("class").alias(c), F.struct("n", "sketch").alias(f"f{c}"))
         found = found.join(ends.hint("merge"), f"{c}0")
     return saved(found.filter(may_be_alike(F.col("fa.sketch"), F.col("fb.sketch"), F.col("fa.n"), F.col("fb.n"), similarity)).select("a", "b"))
 
 
+def sharing(named: DataFrame, similarity: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """named: s, c0, root, i, n, p, q, step -> the pairs (a0, b0) of rows of one s and different roots that
+    sizes, places and smallest sketches allow, with the columns of more and n of both, x and y."""
+    x, y = (named.select("s", *[F.col(c).alias(c + e) for c in ("c0", "root", "i", "n", "p", "q", "step", *more)]) for e in "xy")
+    x = x.withColumn("stepy", F.explode(F.array("stepx", F.col("stepx") + 1)))
+    found = x.hint("merge").join(y.hint("merge"), ["s", "stepy"]).filter("rootx <> rooty and (stepx < stepy or c0x < c0y)")
+    most = F.least("ix", "iy") + 1 + F.least(F.expr("nx - ix - 1"), F.expr("ny - iy - 1"))
+    found = found.filter(most >= similarity * (F.col("nx") + F.col("ny") - most) - 1e-6)
+    found = found.filter(F.expr("bit_count(px ^ py) + bit_count(qx ^ qy)") <= most_apart(F.col("nx"), F.col("ny"), similarity))
+    return found.select(F.least("c0x", "c0y").alias("a0"), F.greatest("c0x", "c0y").alias("b0"), *([f"{c}{e}" for c in ("n", *more) for e in "xy"] if more else []))
+
+
+def sharing_often(named: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """sharing, of shingles that many texts have."""
+    known = named.withColumn("before", F.lag("s").over(W.partitionBy("c0").orderBy("i"))).join(facts.select("class.c0", "sketch").distinct().hint("merge"), "c0")
+    found = sharing(known, similarity, ("before", "sketch")).filter("beforex is null or beforey is null or beforex <> beforey")
+    return found.filter(may_be_alike(F.col("sketchx"), F.col("sketchy"), F.col("nx"), F.col("ny"), similarity)).select("a0", "b0")
+
+
 def alike(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The links (a, b) whose texts' shingle sets have a Jaccard of at least similarity. Only the
     texts that links ask for are moved: a Bloom filter keeps the others where they are."""

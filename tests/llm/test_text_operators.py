@@ -257,6 +257,38 @@ def test_near_groups_without_their_representative(spark):
     assert groups_of(spark, texts) == brute_groups(texts)
 
 
+def test_a_large_group_that_is_near_but_not_alike(spark, monkeypatch):
+    """Texts that share shingles with many others leave the join with those only that may be alike."""
+    rng = random.Random(31)
+    base, texts = [f"b{i}" for i in range(300)], []
+    for i in range(70):
+        own = [f"t{i}w{j}" if rng.random() < 0.08 else w for j, w in enumerate(base)]
+        texts += [" ".join(own)] + [" ".join([*own[:150], *(f"{i}n{j}" for j in range(12)), *own[150:]])] * (i % 7 == 0)
+    sharing, made = simhash_dedup.sharing, []
+
+    def told(*a):
+        made.append((sharing(*a).distinct().count(), len(a)))
+        return sharing(*a)
+
+    monkeypatch.setattr(simhash_dedup, "sharing", told)
+    often, left = simhash_dedup.sharing_often, []
+
+    def counted(*a):
+        found = often(*a)
+        left.append((found.count(), plan_of(found)))
+        return found
+
+    monkeypatch.setattr(simhash_dedup, "sharing_often", counted)
+    assert groups_of(spark, texts) == brute_groups(texts)
+    assert [n for n, k in made if k == 3][0] > 2000 and left[0][0] < 300
+    join = left[0][1].split("Join Inner")[1].split("\n")[0]
+    assert "sketchx" in join and "beforex" in join, left[0][1]  # no pair is made that they rule out
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_near_copies_keep_other_ids(spark):
     """A repeated row leaves documents that share its kind of doc_id, or have none, alone."""
     rows = [(None, "first clean text of no id"), (None, "another one that differs a lot"), (7, "x"), (7, "x"), (8, "one text under id eight"), (8, "and some other text of eight")]
