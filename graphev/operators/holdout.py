@@ -120,8 +120,7 @@ def rounded(scores: DataFrame) -> DataFrame:
 
 def every_vote(typed: DataFrame, objects: DataFrame, prints: DataFrame, fixed: DataFrame, labels: DataFrame) -> DataFrame:
     """source, target, strategy, confidence: the fixed votes and those that labels give."""
-    overlaps = votes.overlaps(typed)
-    whole = {"analog": votes.analog_by_counts(typed, labels), "pattern": votes.pattern(overlaps, labels), "fiber_lift": votes.fiber_lift(labels, objects), "fingerprint": votes.weighted_similarity(prints, labels)}
+    whole = {"analog": votes.analog_by_counts(typed, labels), "pattern": votes.pattern_by_counts(typed, labels), "fiber_lift": votes.fiber_lift(labels, objects), "fingerprint": votes.weighted_similarity(prints, labels)}
     every = fixed.select("source", "target", "strategy", "confidence")
     for name in TOUCHED:
         every = every.unionByName(whole[name].select("source", "target", F.lit(name).alias("strategy"), "confidence"))

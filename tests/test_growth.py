@@ -89,3 +89,20 @@ def test_analogs_are_grouped_by_drug_and_code_only(spark):
     plan = plan_of(found)
     assert [tuple(r) for r in found.select("a", "t", "analogs", "relations", "targets").collect()] == [("d1", "e1", 1, 1, 1)]
     assert not any("keys=[a#" in line and "own#" in line for line in plan.split("\n"))
+
+
+def test_patterns_do_not_pair_drugs_by_relation(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = {(n, f"d{i}", f"p{rng.randrange(40)}", "Drug") for i in range(25) for n in ("inhibits", "activates", "binds") for _ in range(3) if rng.random() < 0.5}
+    rows |= {("treats", f"d{i}", f"e{i % 4}", "Drug") for i in range(0, 25, 2)} | {("treats", "d1", "e9", "Drug"), ("treats", "alone", "e9", "Drug"), ("only", "odd", "p1", "Drug"), ("treats", "d3", "e7", "Drug")}
+    typed = spark.createDataFrame(sorted(rows), "name string, source_name string, target_name string, source_type string")
+    labels = typed.filter("name = 'treats'").select("source_name", "target_name")
+    found = votes.pattern_by_counts(typed, labels)
+    want = sorted(tuple(r) for r in votes.pattern(votes.overlaps(typed), labels).collect())
+    assert len(want) > 50 and sorted(tuple(r) for r in found.collect()) == want
+    assert ("d3", "e7") not in {r[:2] for r in want}  # its only holder
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Inner, .*\(name#\d+ = name#\d+\)|Inner, .*\(t#\d+ = t#\d+\) AND NOT \(s#", plan), plan
+    assert votes.pattern_by_counts(typed.limit(0), labels.limit(0)).count() == 0
