@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphev.functions.shared import saved
 from graphev.operators.components import components
+from graphev.operators.relation import NUDGE
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -34,6 +35,25 @@ def triangles(edges: DataFrame) -> DataFrame:
     return two.join(edges, ["a", "b"], "left_semi").select(*[corners[i].alias(n) for i, n in enumerate("uvw")])
 
 
+def radius_triangles(cells: DataFrame, reach: float) -> DataFrame:
+    """cells (cell, x, y) -> (u, v, w, filtration), u < v < w: no side over reach, the longest side. Every square
+    of a grid as wide as the reach takes a list of the cells in and around it; a cell's triangles are made
+    where it meets that list, so that cells are moved, not edges or triangles."""
+    at = lambda c: F.floor(F.col(c) / reach).cast("int")
+    placed = cells.select("cell", "x", "y", at("x").alias("gx"), at("y").alias("gy"))
+    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    around = placed.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
+    around = around.groupBy((F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy")).agg(F.collect_list(F.struct("cell", "x", "y")).alias("cells"))
+    squared = lambda a, b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])
+    side = lambda a, b: F.round(F.lit(float(NUDGE)) + F.sqrt(squared(a, b)), 6)
+    u, v, w = (F.col(c) for c in "uvw")
+    rows = placed.join(around.hint("merge"), ["gx", "gy"]).select(F.struct("cell", "x", "y").alias("u"), "cells")
+    rows = rows.select("u", F.filter("cells", lambda p: (p["cell"] > u["cell"]) & (squared(u, p) <= reach * reach)).alias("near")).filter(F.size("near") > 1)
+    rows = rows.select("u", "near", F.explode("near").alias("v")).select("u", "v", F.explode("near").alias("w"))
+    rows = rows.filter((w["cell"] > v["cell"]) & (squared(v, w) <= reach * reach))
+    return rows.select(u["cell"].alias("u"), v["cell"].alias("v"), w["cell"].alias("w"), F.greatest(side(u, v), side(u, w), side(v, w)).alias("filtration"))
+
+
 def rank_over_two(columns: DataFrame) -> int:
     """columns (rows: array of orderable values, each once) -> the rank of the matrix over GF(2)."""
     found, now = 0, saved(columns.filter("size(rows) > 0").select("rows", F.array_max("rows").alias("pivot")))

@@ -80,11 +80,7 @@ def drift_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rips_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triangles of the radius graph, each there from its longest edge on."""
-    edges = frame(spark, sf_dir, "i9_rips_edges")
-    faces = homology.triangles(homology.undirected(edges))
-    for x, y in (("u", "v"), ("u", "w"), ("v", "w")):
-        faces = faces.join(edges.select(F.col("a").alias(x), F.col("b").alias(y), F.col("filtration").alias(f"{x}{y}")), [x, y])
-    return faces.select("u", "v", "w", F.greatest("uv", "uw", "vw").alias("filtration"))
+    return homology.radius_triangles(frame(spark, sf_dir, "cells"), 2.0)
 
 
 def graph_json_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,20 @@ def test_patterns_do_not_pair_drugs_by_relation(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Inner, .*\(name#\d+ = name#\d+\)|Inner, .*\(t#\d+ = t#\d+\) AND NOT \(s#", plan), plan
     assert votes.pattern_by_counts(typed.limit(0), labels.limit(0)).count() == 0
+
+
+def test_radius_triangles_move_cells_only(spark):
+    import math
+    import random
+
+    from graphev.operators import homology
+
+    rng = random.Random(3)
+    at = {i: (round(rng.uniform(-3, 3), 4), round(rng.uniform(-3, 3), 4)) for i in range(40)} | {50: (0.0, 0.0), 51: (2.0, 0.0), 52: (2.0, 2.0)}
+    cells = spark.createDataFrame([(i, x, y) for i, (x, y) in at.items()], "cell long, x double, y double")
+    found = homology.radius_triangles(cells, 2.0)
+    plan = plan_of(found)
+    d = lambda a, b: math.dist(at[a], at[b])
+    want = {(u, v, w): round(max(d(u, v), d(u, w), d(v, w)), 6) for u in at for v in at for w in at if u < v < w and max(d(u, v), d(u, w), d(v, w)) <= 2}
+    assert {tuple(r)[:3]: r.filtration for r in found.collect()} == want and len(want) > 100
+    assert plan.count("Join") == 1 and plan.rindex("Exchange") > plan.rindex("Generate explode(near"), plan
