@@ -123,3 +123,14 @@ def test_radius_triangles_move_cells_only(spark):
     want = {(u, v, w): round(max(d(u, v), d(u, w), d(v, w)), 6) for u in at for v in at for w in at if u < v < w and max(d(u, v), d(u, w), d(v, w)) <= 2}
     assert {tuple(r)[:3]: r.filtration for r in found.collect()} == want and len(want) > 100
     assert plan.count("Join") == 1 and plan.rindex("Exchange") > plan.rindex("Generate explode(near"), plan
+
+
+def test_the_axiom_makes_no_two_edge_paths(spark):
+    rows, last = graph(spark)
+    found = paths.composition_axiom(last)
+    w = {(a, b): c for a, b, _, _, c, _ in rows if a != b}
+    want = {(a, b, c, round(w[a, b] * w[b, c], 6), w[a, c]) for a, b in w for x, c in w if x == b and a != c and (a, c) in w and w[a, b] * w[b, c] > w[a, c] + 1e-9}
+    assert {tuple(r) for r in found.collect()} == want and any(x[2][0] == "e" for x in want) and any(x[2][0] == "p" for x in want)
+    plan = plan_of(found)
+    assert "array_intersect" in plan and "array_position" in plan, plan
+    assert paths.composition_axiom(last.limit(0)).count() == 0
