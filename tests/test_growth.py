@@ -134,3 +134,17 @@ def test_the_axiom_makes_no_two_edge_paths(spark):
     plan = plan_of(found)
     assert "array_intersect" in plan and "array_position" in plan, plan
     assert paths.composition_axiom(last.limit(0)).count() == 0
+
+
+def test_best_fillers_are_not_sorted(spark):
+    edges = [("d1", "p2", "x", 0.5), ("d1", "p1", "y", 0.5), ("d1", "p1", "x", 0.5), ("d1", "p10", "x", 0.9), ("d2", "p2", "y", 0.3), ("d3", "p9", "x", 0.3)]
+    ends = [("p1", "e1", "z", 0.8), ("p1", "e1", "x", 0.8), ("p2", "e1", "x", 0.8), ("p10", "e2", "z", 0.1), ("p1", "e2", "z", 0.00006), ("p2", "e2", "z", 0.1)]
+    rows = [(a, b, "Drug", "Protein", w, n) for a, b, n, w in edges] + [(a, b, "Protein", "Disease", w, n) for a, b, n, w in ends]
+    view = spark.createDataFrame(rows, LAST)
+    found = paths.best_fillers_by_places(view)
+    labels = spark.createDataFrame([], "source_name string, target_name string, confidence double")
+    want = {tuple(r) for r in paths.best_fillers(paths.inner_horns(view, labels)).collect()}
+    assert {tuple(r) for r in found.collect()} == want and ("d1", "e1", "p1", "x", "x", 0.4) in want and len(want) == 4
+    plan = plan_of(found)
+    assert "Window" not in plan.split("max(")[0] and "SortAggregate" not in plan, plan
+    assert paths.best_fillers_by_places(view.limit(0)).count() == 0
