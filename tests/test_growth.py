@@ -148,3 +148,20 @@ def test_best_fillers_are_not_sorted(spark):
     plan = plan_of(found)
     assert "Window" not in plan.split("max(")[0] and "SortAggregate" not in plan, plan
     assert paths.best_fillers_by_places(view.limit(0)).count() == 0
+
+
+def test_bridges_compare_bits(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = {f"{k}{i}": {e for e in range(70) if rng.random() < p} for k in "ok" for i, p in enumerate((0.05, 0.5, 0.9, 0.92, 0.95, 1.0, 0.01))}
+    sets |= {"o7": {1, 2}, "k7": {1, 2, 3}, "k8": {64, 69}, "o8": {64, 69}}
+    kind = {"o": "Oncogene", "k": "Kinase"}
+    edges = [(n, f"e{e}", kind[n[0]], "Disease", 0.5, "x") if e % 2 else (f"e{e}", n, "Disease", kind[n[0]], 0.5, "x") for n, s in sets.items() for e in s]
+    view = spark.createDataFrame(edges + edges[:9], LAST)
+    found = votes.cross_type_bridge(view, least=0.6)
+    plan = plan_of(found)
+    like = {(a, b): len(s & t) / max(1, len(s | t)) for a, s in sets.items() for b, t in sets.items() if a[0] == "o" and b[0] == "k"}
+    assert {(r.source, r.target): r.confidence for r in found.collect()} == {k: round(v, 6) for k, v in like.items() if v >= 0.6} and like["o7", "k7"] > 0.6
+    assert "Aggregate" not in plan and "bit_count" in plan, plan  # pairs are not grouped
+    assert votes.cross_type_bridge(view.limit(0)).count() == 0
