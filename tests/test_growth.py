@@ -165,3 +165,13 @@ def test_bridges_compare_bits(spark):
     assert {(r.source, r.target): r.confidence for r in found.collect()} == {k: round(v, 6) for k, v in like.items() if v >= 0.6} and like["o7", "k7"] > 0.6
     assert "Aggregate" not in plan and "bit_count" in plan, plan  # pairs are not grouped
     assert votes.cross_type_bridge(view.limit(0)).count() == 0
+
+
+def test_common_descendants_are_grouped_where_the_drug_is(spark):
+    edges = [("d1", "p1"), ("d1", "p2"), ("d1", "p3"), ("d2", "p2"), ("d2", "p2")]
+    others = [("p3", "p1"), ("p4", "p1"), ("p4", "p2"), ("p4", "p2"), ("p5", "p9"), ("p2", "e1")]
+    rows = [(a, b, "Drug", "Protein", 0.5, "x") for a, b in edges] + [(a, b, "Protein", "Disease" if b[0] == "e" else "Protein", 0.5, "x") for a, b in others]
+    found = votes.common_descendants(spark.createDataFrame(rows, LAST))
+    plan = plan_of(found)
+    assert sorted(tuple(r) for r in found.collect()) == [("d1", "p4", 0.5, 2), ("d2", "p4", 0.5, 1)]  # d1 leads to p3 itself
+    assert "hashpartitioning(a#" in plan and not re.search(r"hashpartitioning\(a#\d+, b#", plan), plan
