@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphev.functions.shared import new_dir
+from graphev.functions.shared import stored
 from graphev.operators import scoring, votes
 from graphev.operators.relation import Relation
 
@@ -91,23 +91,17 @@ def two_best(ways: DataFrame) -> DataFrame:
     return first.join(second, ["source", "target"], "left")
 
 
-def _kept(rows: DataFrame, name: str) -> DataFrame:
-    folder = new_dir(rows.sparkSession, name)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.parquet(folder)
-
-
 def touched_votes(typed: DataFrame, objects: DataFrame, prints: DataFrame, labels: DataFrame) -> DataFrame:
     """d, e (the held label), source, target, strategy, confidence: every vote that the fold changes;
     null where the vote is gone."""
-    overlaps = _kept(votes.overlaps(typed), "overlaps")
+    overlaps = stored(votes.overlaps(typed), "overlaps")
     held = folds(labels, typed, objects)
     pairs = alike(moved(held, overlaps, typed))
     pattern = two_best(pattern_ways(overlaps, labels).filter("c > 0.3"))
     both = own_pairs(pairs, labels).unionByName(others_pairs(pairs, labels, overlaps, pattern))
     rows = both.unpivot(PAIR, ["analog", "pattern"], "strategy", "confidence")
     for name, ways in (("fiber_lift", fiber_ways(labels, objects)), ("fingerprint", print_ways(prints, labels))):
-        ways = _kept(ways, name)
+        ways = stored(ways, name)
         rows = rows.unionByName(lost(held, ways, two_best(ways)).select(*PAIR, F.lit(name).alias("strategy"), F.col("c").alias("confidence")))
     # a fold's other labels are no negatives
     other = labels.select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), F.lit(True).alias("label"))
@@ -123,7 +117,7 @@ def every_vote(typed: DataFrame, objects: DataFrame, prints: DataFrame, fixed: D
     whole = {"analog": votes.analog_by_counts(typed, labels), "pattern": votes.pattern_by_counts(typed, labels), "fiber_lift": votes.fiber_lift(labels, objects), "fingerprint": votes.weighted_similarity(prints, labels)}
     every = fixed.select("source", "target", "strategy", "confidence")
     for name in TOUCHED:
-        every = every.unionByName(whole[name].select("source", "target", F.lit(name).alias("strategy"), "confidence"))
+        every = every.unionByName(stored(whole[name].select("source", "target", F.lit(name).alias("strategy"), "confidence"), name))
     return every
 
 
@@ -132,17 +126,17 @@ def fold_scores(typed: DataFrame, objects: DataFrame, prints: DataFrame, fixed:
     confidence), paths (source, target, chains, total) -> labels; the negatives' scores with all labels
     (source, target, score; no row: 0); each fold's scores of its touched pairs (d, e, source, target,
     score, votes), the held one among them if it has any vote."""
-    labels = _kept(positives(typed), "labels")
+    labels = stored(positives(typed), "labels")
     every = every_vote(typed, objects, prints, fixed, labels)
-    every = _kept(every, "votes")
+    every = stored(every, "votes")
     pair = [F.col("source_name").alias("source"), F.col("target_name").alias("target")]
     base = rounded(scoring.score_breakdown(every, paths)).select("source", "target", "score").join(labels.select(*pair), ["source", "target"], "left_anti")
-    changed = _kept(touched_votes(typed, objects, prints, labels), "touched")
+    changed = stored(touched_votes(typed, objects, prints, labels), "touched")
     asked = changed.select(*PAIR).unionByName(labels.select(F.col("source_name").alias("d"), F.col("target_name").alias("e"), *pair)).distinct()
     same = asked.join(every, ["source", "target"]).join(changed.select(*PAIR, "strategy"), [*PAIR, "strategy"], "left_anti")
     now = changed.dropna(subset=["confidence"]).unionByName(same.select(*changed.columns))
     scored = rounded(scoring.score_breakdown(now, paths, by=("d", "e"))).select(*PAIR, "score", "votes")
-    return labels, _kept(base, "base"), _kept(asked.join(scored, PAIR, "left").fillna({"score": 0.0, "votes": 0}), "folds")
+    return labels, stored(base, "base"), stored(asked.join(scored, PAIR, "left").fillna({"score": 0.0, "votes": 0}), "folds")
 
 
 def universe(objects: DataFrame, labels: DataFrame) -> int:
@@ -208,12 +202,12 @@ def held_out(typed: DataFrame, objects: DataFrame, prints: DataFrame, fixed: Dat
     known = positives(typed).select(F.col("source_name").alias("source"), F.col("target_name").alias("target"))
     held = held.select("source", "target").distinct().join(known, ["source", "target"], "left_semi")
     gone = held.select(F.col("source").alias("source_name"), F.col("target").alias("target_name"), F.lit("treats").alias("name"))
-    train = _kept(typed.join(gone, ["source_name", "target_name", "name"], "left_anti"), "train")
-    labels = _kept(positives(train), "labels")
+    train = stored(typed.join(gone, ["source_name", "target_name", "name"], "left_anti"), "train")
+    labels = stored(positives(train), "labels")
     rows = rounded(scoring.score_breakdown(every_vote(train, objects, prints, fixed, labels), paths)).select("source", "target", "score", "votes")
     rows = rows.join(labels.select(F.col("source_name").alias("source"), F.col("target_name").alias("target")), ["source", "target"], "left_anti")
     rows = rows.join(held.withColumn("label", F.lit(True)), ["source", "target"], "full")
-    return _kept(rows.fillna({"score": 0.0, "votes": 0, "label": False}), "held-out")
+    return stored(rows.fillna({"score": 0.0, "votes": 0, "label": False}), "held-out")
 
 
 def fold_recall(labels: DataFrame, predicted: DataFrame, folds: int = 5) -> DataFrame:

@@ -175,3 +175,27 @@ def test_common_descendants_are_grouped_where_the_drug_is(spark):
     plan = plan_of(found)
     assert sorted(tuple(r) for r in found.collect()) == [("d1", "p4", 0.5, 2), ("d2", "p4", 0.5, 1)]  # d1 leads to p3 itself
     assert "hashpartitioning(a#" in plan and not re.search(r"hashpartitioning\(a#\d+, b#", plan), plan
+
+
+def test_what_is_stored_leaves_no_shuffle_behind(spark):
+    import time
+
+    from graphev.functions import shared
+    from graphev.plans import catalog
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in found if "/shuffle_" in f}
+
+    was = files()
+    rows = spark.range(1000).selectExpr("id * 7 % 13 AS k", "id").groupBy("k").agg({"id": "sum"})
+    a, b = shared.stored(rows, "rows"), shared.saved(rows)
+    for _ in range(50):  # files go in the background
+        if not files() - was:
+            break
+        time.sleep(0.2)
+    assert not files() - was
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() == 13
+    made = {}
+    catalog.frame(spark, "/root/testdata/sf0.001", "votes", made)
+    assert all("parquet" in plan_of(made[n]).lower() and "Exchange" not in plan_of(made[n]) for n in ("d1_composition", "d2_pathway_support"))
