@@ -199,3 +199,37 @@ def test_what_is_stored_leaves_no_shuffle_behind(spark):
     made = {}
     catalog.frame(spark, "/root/testdata/sf0.001", "votes", made)
     assert all("parquet" in plan_of(made[n]).lower() and "Exchange" not in plan_of(made[n]) for n in ("d1_composition", "d2_pathway_support"))
+
+
+def test_edges_by_kind_are_the_typed_edges(spark):
+    import datetime as dt
+    import random
+
+    from graphev.plans import catalog
+    from graphev.sources import starmap
+
+    rng, day = random.Random(4), lambda k: None if k == 0 else dt.datetime(1995, 1, 1) + dt.timedelta(days=k % 3, microseconds=k % 2 * 500_000)
+    pick = lambda *x: rng.choice(x)
+    rows = {
+        "lineitem": ([(pick(1, 2, 3, 4, None), pick(1, 2, 3, 9, None), pick(1, 2, 8, None), rng.randrange(4), rng.randrange(11) / 100, rng.randrange(9) / 100, pick("A", "N", "R", "Z", None), pick("F", "O", "P", None), day(rng.randrange(9))) for _ in range(400)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        "orders": ([(k, pick(1, 2, 3, None), pick("A", "O", "OO", "P", "Q", None), day(k), pick("1-X", "2-X", "5-X", None)) for k in (1, 2, 3, 3, 5)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string"),
+        "customer": ([(1, 0), (2, 1), (3, 1), (3, None)], "c_custkey long, c_nationkey int"),
+        "supplier": ([(1, 0, 5.0), (1, 0, -5.0), (2, 1, -1.0), (7, 6, 0.0), (3, None, None)], "s_suppkey long, s_nationkey int, s_acctbal double"),
+        "part": ([(1, "LARGE", 1, 2.0, "b"), (2, "PROMO", 1, 2.0, "b"), (2, "SMALL", 1, 2.0, "b"), (3, None, 1, 2.0, "b")], "p_partkey long, p_type string, p_size int, p_retailprice double, p_brand string"),
+        "nation": ([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int"),
+    }
+    made = {name: spark.createDataFrame(*x) for name, x in rows.items()}
+    typed = views.TYPED(starmap.OBJECTS(*(made[t] for t in ("supplier", "part", "nation"))), starmap.MORPHISMS(*(made[t] for t in starmap.MORPHISMS.inputs)))
+    kinds = [kind(*(made[t] for t in kind.inputs)) for kind in starmap.KINDS.values()]
+    of = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    strict = views.strict_view(typed)
+    assert of(starmap.TYPED_EDGES(*kinds)) == of(typed) and typed.count() > 60
+    assert of(starmap.STRICT_EDGES(*kinds)) == of(strict)
+    # flags that mean one relation leave two edges of one id; of those of one time either is the last
+    of_flags = lambda df: of(df.filter("name <> 'modulates' OR name IS NULL"))
+    assert of_flags(starmap.LAST_EDGES(*kinds)) == of_flags(views.last_edges(strict)) and starmap.LAST_EDGES(*kinds).count() == views.last_edges(strict).count()
+    assert of(starmap.LABELS(kinds[-1])) == of(typed.filter("name = 'treats'").select("source_name", "target_name", "confidence")) != []
+    # labels make no other edges, and the views are read from the kinds' files without another exchange
+    assert catalog.OTHERWISE["b12_positive_labels"][1] == catalog.OTHERWISE["labels_"][1] == ("treat_edges",)
+    assert "Exchange" not in plan_of(catalog.frame(spark, "/root/testdata/sf0.001", "last"))
