@@ -226,6 +226,8 @@ def test_edges_by_kind_are_the_typed_edges(spark):
     strict = views.strict_view(typed)
     assert of(starmap.TYPED_EDGES(*kinds)) == of(typed) and typed.count() > 60
     assert of(starmap.STRICT_EDGES(*kinds)) == of(strict)
+    untyped = [kind(*(made[t] for t in kind.inputs)) for kind in starmap.UNTYPED.values()]
+    assert of(starmap.EVERY_EDGE(*untyped)) == of(starmap.MORPHISMS(*(made[t] for t in starmap.MORPHISMS.inputs)))
     # flags that mean one relation leave two edges of one id; of those of one time either is the last
     of_flags = lambda df: of(df.filter("name <> 'modulates' OR name IS NULL"))
     assert of_flags(starmap.LAST_EDGES(*kinds)) == of_flags(views.last_edges(strict)) and starmap.LAST_EDGES(*kinds).count() == views.last_edges(strict).count()
