@@ -235,3 +235,25 @@ def test_edges_by_kind_are_the_typed_edges(spark):
     # labels make no other edges, and the views are read from the kinds' files without another exchange
     assert catalog.OTHERWISE["b12_positive_labels"][1] == catalog.OTHERWISE["labels_"][1] == ("treat_edges",)
     assert "Exchange" not in plan_of(catalog.frame(spark, "/root/testdata/sf0.001", "last"))
+
+
+def test_best_chains_sort_only_what_can_lead(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"d{i % 3}", f"p{rng.randrange(60)}", f"e{rng.randrange(4)}", rng.choice("xy"), rng.choice("xy"), rng.choice([None, 0.1, 0.2, 0.9, 0.9, rng.random()])) for i in range(900)]
+    rows += [("d9", "p1", "e1", "x", n, 0.5 + k / 10) for k, n in enumerate("xyz")] + [("d8", "p1", "e1", "x", "x", 0.5)] * 2
+    horns = spark.createDataFrame(rows, "a string, b string, c string, f_name string, g_name string, composite double")
+    of = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    for most in (1, 3, 30):
+        want = of(more._best_chains(horns, most=most))
+        assert of(more.best_chains(horns, most=most)) == want and len(want) > 12
+    led = more._leading(horns, 3)
+    assert led.count() < 300 and {r.a for r in led.collect()} >= {"d8", "d9"}  # pairs with few intermediates are whole
+
+
+def test_path_counts_store_their_steps(spark):
+    rows, last = graph(spark)
+    plan = plan_of(paths.path_counts_by_steps(last))
+    # chains are opened by the jobs before: what is left reads their counts
+    assert "inhibits" not in plan and plan.count("Generate") == 1 and plan.lower().count("scan parquet") >= 2, plan
