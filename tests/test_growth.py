@@ -257,3 +257,26 @@ def test_path_counts_store_their_steps(spark):
     plan = plan_of(paths.path_counts_by_steps(last))
     # chains are opened by the jobs before: what is left reads their counts
     assert "inhibits" not in plan and plan.count("Generate") == 1 and plan.lower().count("scan parquet") >= 2, plan
+
+
+def test_best_paths_keep_one_group_of_sources_at_a_time(spark):
+    import os
+
+    from graphev.functions import shared
+    from graphev.operators import routes
+
+    rows, last = graph(spark)
+    edges = last.selectExpr("source_name s", "target_name t", "confidence w")
+    sources, ends = (last.filter(f"{x}").selectExpr(f"{c}_name AS {n}") for x, c, n in (("source_type = 'Drug'", "source", "source"), ("target_type = 'Disease'", "target", "target")))
+    of = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    folder = shared.shared_dir(spark).removeprefix("file:")
+    labels = lambda: {f for f in os.listdir(folder) if f.startswith("labels-")}
+    was = labels()
+    whole = routes.best_paths(edges, sources, max_edges=4)
+    assert len(labels() - was) == 1  # the last round's are the result
+    apart = routes.best_paths(edges, sources, max_edges=4, at_once=20)
+    assert of(apart) == of(whole) and len(of(whole)) > 20
+    some = labels()
+    to = routes.best_paths(edges.selectExpr("s", "t", "1 - w AS w"), sources, ends, 4, routes.SUM, at_once=20)
+    assert labels() == some
+    assert of(to) == of(routes.best_paths(edges.selectExpr("s", "t", "1 - w AS w"), sources, None, 4, routes.SUM).join(ends.distinct(), "target", "left_semi").select(to.columns))
