@@ -202,7 +202,8 @@ def held_out(typed: DataFrame, objects: DataFrame, prints: DataFrame, fixed: Dat
     known = positives(typed).select(F.col("source_name").alias("source"), F.col("target_name").alias("target"))
     held = held.select("source", "target").distinct().join(known, ["source", "target"], "left_semi")
     gone = held.select(F.col("source").alias("source_name"), F.col("target").alias("target_name"), F.lit("treats").alias("name"))
-    train = stored(typed.join(gone, ["source_name", "target_name", "name"], "left_anti"), "train")
+    used = typed.select("name", "source_name", "target_name", "source_type", "target_type", "confidence")
+    train = stored(used.join(gone, ["source_name", "target_name", "name"], "left_anti"), "train")
     labels = stored(positives(train), "labels")
     rows = rounded(scoring.score_breakdown(every_vote(train, objects, prints, fixed, labels), paths)).select("source", "target", "score", "votes")
     rows = rows.join(labels.select(F.col("source_name").alias("source"), F.col("target_name").alias("target")), ["source", "target"], "left_anti")
